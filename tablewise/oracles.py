@@ -75,3 +75,172 @@ select cast(sum(n) as bigint) as total_rows, cast(7 as bigint) as total_cols,
 from (select count(*) as n from dirty_orders
       group by o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, price_text, date_text)
 """)
+
+# --- cleaning ----------------------------------------------------------------------
+from tablewise.functions.exprs import NUMERIC_PATTERN  # noqa: E402
+
+_ALL = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, price_text, date_text"
+
+
+def _num(expr: str) -> str:
+    return f"case when regexp_matches({expr}, '{NUMERIC_PATTERN}') then cast(trim({expr}) as double) end"
+
+
+def _all_but(col: str, expr: str) -> str:
+    return ", ".join(expr if c.strip() == col else c.strip() for c in _ALL.split(","))
+
+
+oracle("clean_dedupe", f"select distinct {_ALL} from dirty_orders")
+oracle("clean_drop_nulls", f"select {_ALL} from dirty_orders where o_totalprice is not null")
+oracle("impute_mean", f"""
+select {_all_but('o_totalprice', 'round(coalesce(o_totalprice, (select avg(o_totalprice) from dirty_orders)), 4) as o_totalprice')}
+from dirty_orders""")
+oracle("impute_median", f"""
+select {_all_but('o_totalprice', 'round(coalesce(o_totalprice, (select quantile_cont(o_totalprice, 0.5) from dirty_orders)), 4) as o_totalprice')}
+from dirty_orders""")
+_MODE_STATUS = ("(select o_orderstatus from dirty_orders where o_orderstatus is not null "
+                "group by o_orderstatus order by count(*) desc, o_orderstatus limit 1)")
+oracle("impute_mode", f"""
+select {_all_but('o_orderstatus', f'coalesce(o_orderstatus, {_MODE_STATUS}) as o_orderstatus')}
+from dirty_orders""")
+oracle("impute_constant", f"""
+select {_all_but('o_orderstatus', "coalesce(o_orderstatus, 'Unknown') as o_orderstatus")} from dirty_orders""")
+_FENCE = """(select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from
+  (select quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from dirty_orders))"""
+oracle("cap_iqr", f"""
+select {_all_but('o_totalprice', 'round(case when o_totalprice is null then null else least(greatest(o_totalprice, f.lo), f.hi) end, 4) as o_totalprice')}
+from dirty_orders, {_FENCE} f""")
+oracle("remove_outliers", f"""
+select {_ALL} from dirty_orders, {_FENCE} f
+where not coalesce(o_totalprice < f.lo or o_totalprice > f.hi, false)""")
+oracle("convert_types", f"""
+select o_orderkey,
+  coalesce(cast(trunc({_num('price_text')}) as bigint), 0) as price_int,
+  {_num('price_text')} as price_float,
+  cast(try_strptime(date_text, '%Y-%m-%d') as varchar) as date_value,
+  cast(o_custkey as varchar) as custkey_text,
+  o_orderpriority as priority_category
+from dirty_orders""")
+
+_PLAN_CTE = f"""
+d0 as (select distinct {_ALL} from dirty_orders),
+st as (select (select o_orderstatus from d0 where o_orderstatus is not null group by 1
+               order by count(*) desc, 1 limit 1) as mode_status,
+              (select quantile_cont(o_totalprice, 0.5) from d0) as med_price),
+d1 as (select o_orderkey, o_custkey, coalesce(o_orderstatus, st.mode_status) as o_orderstatus,
+              coalesce(o_totalprice, st.med_price) as o_totalprice, o_orderpriority,
+              {_num('price_text')} as price_text,
+              try_strptime(date_text, '%Y-%m-%d') as date_text
+       from d0, st),
+f as (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from
+      (select quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from d1)),
+pm as (select avg(price_text) as mean_price from d1),
+d2 as (select o_orderkey, o_custkey, o_orderstatus,
+              least(greatest(o_totalprice, f.lo), f.hi) as o_totalprice, o_orderpriority,
+              coalesce(price_text, pm.mean_price) as price_text, date_text
+       from d1, f, pm)
+"""
+oracle("apply_plan", f"""
+with {_PLAN_CTE}
+select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) as o_totalprice, o_orderpriority,
+       round(price_text, 4) as price_text, cast(date_text as varchar) as date_text
+from d2 where date_text is not null""")
+oracle("cleaning_report", f"""
+with {_PLAN_CTE}
+select * from (
+  select 0 as seq, cast(null as varchar) as "column", 'drop_duplicates' as action,
+         cast((select count(*) from dirty_orders) - (select count(*) from d0) as bigint) as affected_rows,
+         cast(null as double) as lower_bound, cast(null as double) as upper_bound
+  union all select 1, 'price_text', 'convert_float', null, null, null
+  union all select 2, 'date_text', 'convert_datetime', null, null, null
+  union all select 3, 'o_orderstatus', 'impute_mode', (select cast(count_if(o_orderstatus is null) as bigint) from d0), null, null
+  union all select 4, 'o_totalprice', 'impute_median', (select cast(count_if(o_totalprice is null) as bigint) from d0), null, null
+  union all select 5, 'price_text', 'impute_mean', (select cast(count_if(price_text is null) as bigint) from d1), null, null
+  union all select 6, 'o_totalprice', 'cap_iqr',
+         (select cast(count_if(o_totalprice < f.lo or o_totalprice > f.hi) as bigint) from d1, f),
+         (select round(lo, 4) from f), (select round(hi, 4) from f)
+  union all select 7, 'date_text', 'drop', (select cast(count_if(date_text is null) as bigint) from d1), null, null
+)""")
+
+# --- EDA -----------------------------------------------------------------------------
+_LI_NUM = [c for c, dt, role in LINEITEM_COLS if role == "numeric"]
+oracle("describe_lineitem", "\n union all \n".join(
+    f"""select cast({i} as integer) as position, '{c}' as "column", count({c}) as count,
+    round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, round(cast(min({c}) as double), 6) as min,
+    round(quantile_cont({c}, 0.25), 6) as q25, round(quantile_cont({c}, 0.5), 6) as q50,
+    round(quantile_cont({c}, 0.75), 6) as q75, round(cast(max({c}) as double), 6) as max,
+    round(skewness({c}), 6) as skewness, round(kurtosis({c}), 6) as kurtosis from lineitem"""
+    for i, c in enumerate(_LI_NUM)))
+oracle("skew_lineitem", "\n union all \n".join(
+    f"""select '{c}' as "column", round(skewness({c}), 6) as skewness from lineitem""" for c in _LI_NUM))
+_ORD_CAT = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
+_VC = " union all ".join(f"select '{c}' as \"column\", cast({c} as varchar) as value from orders" for c in _ORD_CAT)
+oracle("top_values_orders", f"""
+select "column", rank, value, count from (
+  select "column", value, count(*) as count,
+         cast(row_number() over (partition by "column" order by count(*) desc, value asc nulls last) as integer) as rank
+  from ({_VC}) group by "column", value) where rank <= 5""")
+oracle("cardinality_orders", f"""
+select "column", cast(count(distinct value) as bigint) as cardinality from ({_VC}) group by "column" """)
+_pairs = [(i, j) for i in range(len(_LI_NUM)) for j in range(len(_LI_NUM))]
+oracle("correlation_matrix", "\n union all \n".join(
+    f"""select cast({i} as integer) as i, cast({j} as integer) as j, '{_LI_NUM[i]}' as feature_1,
+    '{_LI_NUM[j]}' as feature_2, round(case when isnan(r) then null else r end, 6) as correlation
+    from (select corr(cast({_LI_NUM[j]} as double), cast({_LI_NUM[i]} as double)) as r from lineitem)"""
+    for i, j in _pairs))
+_F_NUM = [c for c, dt, role in FEATURE_COLS if role == "numeric"]
+_fpairs = [(i, j) for i in range(len(_F_NUM)) for j in range(i + 1, len(_F_NUM))]
+_FCORR = " union all ".join(
+    f"select {i} as i, {j} as j, '{_F_NUM[i]}' as feature_1, '{_F_NUM[j]}' as feature_2, "
+    f"corr(cast({_F_NUM[j]} as double), cast({_F_NUM[i]} as double)) as r from order_features"
+    for i, j in _fpairs)
+oracle("top_correlations", f"""
+select cast(row_number() over (order by abs(round(r, 4)) desc, i, j) as integer) as rank,
+       feature_1, feature_2, round(r, 4) as correlation
+from ({_FCORR}) where abs(r) >= 0.4 order by abs(round(r, 4)) desc, i, j limit 10""")
+oracle("target_info_numeric", """
+select 'o_totalprice' as name, 'double' as dtype, cast(count(distinct o_totalprice) as bigint) as unique_count,
+       round(avg(o_totalprice), 4) as mean, round(stddev_samp(o_totalprice), 4) as std from orders""")
+oracle("target_info_categorical", """
+select 'o_orderpriority' as name, 'string' as dtype,
+       (select cast(count(distinct o_orderpriority) as bigint) from orders) as unique_count,
+       list(v order by rn) as top_categories, list(n order by rn) as top_counts
+from (select o_orderpriority as v, count(*) as n,
+             row_number() over (order by count(*) desc, o_orderpriority) as rn
+      from orders where o_orderpriority is not null group by 1) where rn <= 3""")
+oracle("class_balance", """
+select cast(o_orderstatus as varchar) as class, count(*) as count,
+       round(count(*) / sum(count(*)) over (), 6) as share,
+       round(max(count(*)) over () / min(count(*)) over (), 6) as imbalance_ratio
+from orders where o_orderstatus is not null group by 1""")
+_F_ALL = [c for c, dt, role in FEATURE_COLS]
+_F_STATS = " union all ".join(
+    f"select {k} as pos, '{c}' as col, '{role}' as role, count(distinct {c}) as nu, "
+    + (f"skewness({c}) as g, kurtosis({c}) as k, min({c}) as mn " if role == "numeric" else
+       "null::double as g, null::double as k, null::double as mn ")
+    + "from order_features" for k, (c, dt, role) in enumerate(FEATURE_COLS))
+oracle("distribution_labels", f"""
+select col as "column", case when nu = 2 then 'Binary' when role = 'categorical' then 'Categorical'
+  when g is null then 'Normal' when abs(g) < 0.5 and k < -1.0 then 'Uniform'
+  when g > 0.5 then 'Skewed-Right' when g < -0.5 then 'Skewed-Left' else 'Normal' end as distribution
+from ({_F_STATS})""")
+_imb = """(select 'class_imbalance' as kind, 'returned' as "column", round(max(n) / sum(n), 4) as evidence
+  from (select returned, count(*) as n from order_features where returned is not null group by 1)
+  having max(n) / sum(n) >= 0.7)"""
+oracle("key_findings", f"""
+select 'high_correlation' as kind, feature_1 || ',' || feature_2 as "column", round(r, 4) as evidence
+from ({_FCORR}) where abs(r) >= 0.7
+union all
+select 'skewed_distribution', col, round(g, 4) from ({_F_STATS}) where role = 'numeric' and abs(g) > 1
+union all select * from {_imb}""")
+_F_NT = [(k, c) for k, (c, dt, role) in enumerate(FEATURE_COLS) if role == "numeric" and c != "returned"]
+_npairs = [(i, j) for i in range(len(_F_NT)) for j in range(i + 1, len(_F_NT))]
+oracle("suggest_features", f"""
+select case when g > 1 and mn >= 0 then col || '_log1p' when nu > 50 then col || '_bin' else col || '_z' end as feature,
+       case when g > 1 and mn >= 0 then 'log1p' when nu > 50 then 'quantile_bin' else 'zscore' end as kind,
+       col as source_1, cast(null as varchar) as source_2
+from ({_F_STATS}) where role = 'numeric' and col <> 'returned' and (g > 1 and mn >= 0 or nu > 2)
+union all
+select a || '_per_' || b, 'ratio', a, b from (""" + " union all ".join(
+    f"select '{_F_NT[i][1]}' as a, '{_F_NT[j][1]}' as b, corr(cast({_F_NT[j][1]} as double), cast({_F_NT[i][1]} as double)) as r from order_features"
+    for i, j in _npairs) + ") where abs(r) >= 0.7")

@@ -55,3 +55,168 @@ def missing_table(spark, sf_dir):
 @query("duplicate_rows")
 def duplicate_rows(spark, sf_dir):
     return P.profile_summary(dirty_orders(spark, sf_dir))
+
+
+# --- cleaning ----------------------------------------------------------------------
+from tablewise.operators import clean as C  # noqa: E402
+from tablewise.plans import cleaning as CP  # noqa: E402
+
+
+@query("clean_dedupe")
+def clean_dedupe(spark, sf_dir):
+    return C.drop_duplicates(dirty_orders(spark, sf_dir))
+
+
+@query("clean_drop_nulls")
+def clean_drop_nulls(spark, sf_dir):
+    return C.drop_nulls(dirty_orders(spark, sf_dir), "o_totalprice")
+
+
+@query("impute_mean")
+def impute_mean(spark, sf_dir):
+    return rounded(C.impute_mean(dirty_orders(spark, sf_dir), "o_totalprice"), 4)
+
+
+@query("impute_median")
+def impute_median(spark, sf_dir):
+    return rounded(C.impute_median(dirty_orders(spark, sf_dir), "o_totalprice"), 4)
+
+
+@query("impute_mode")
+def impute_mode(spark, sf_dir):
+    return C.impute_mode(dirty_orders(spark, sf_dir), "o_orderstatus")
+
+
+@query("impute_constant")
+def impute_constant(spark, sf_dir):
+    return C.impute_constant(dirty_orders(spark, sf_dir), "o_orderstatus", None)
+
+
+@query("cap_iqr")
+def cap_iqr(spark, sf_dir):
+    return rounded(C.cap_iqr(dirty_orders(spark, sf_dir), "o_totalprice"), 4)
+
+
+@query("remove_outliers")
+def remove_outliers(spark, sf_dir):
+    return C.remove_outliers(dirty_orders(spark, sf_dir), "o_totalprice")
+
+
+@query("convert_types")
+def convert_types(spark, sf_dir):
+    d = dirty_orders(spark, sf_dir)
+    return d.select("o_orderkey",
+                    C.convert_expr(d, "price_text", "int").alias("price_int"),
+                    C.convert_expr(d, "price_text", "float").alias("price_float"),
+                    C.convert_expr(d, "date_text", "datetime").cast("string").alias("date_value"),
+                    C.convert_expr(d, "o_custkey", "str").alias("custkey_text"),
+                    C.convert_expr(d, "o_orderpriority", "category").alias("priority_category"))
+
+
+DEMO_PLAN = CP.CleaningPlan(True, [
+    CP.ColumnStrategy("o_orderstatus", "impute_mode"),
+    CP.ColumnStrategy("o_totalprice", "impute_median", None, "cap_iqr"),
+    CP.ColumnStrategy("price_text", "impute_mean", None, "none", "float"),
+    CP.ColumnStrategy("date_text", "drop", None, "none", "datetime"),
+])
+
+
+def _demo_clean(spark, sf_dir):
+    return CP.apply_plan(dirty_orders(spark, sf_dir), DEMO_PLAN)
+
+
+@query("apply_plan")
+def apply_plan(spark, sf_dir):
+    res = _demo_clean(spark, sf_dir)
+    d = res.data
+    return rounded(d.withColumn("date_text", F.col("date_text").cast("string")), 4)
+
+
+@query("cleaning_report")
+def cleaning_report(spark, sf_dir):
+    res = _demo_clean(spark, sf_dir)
+    return rounded(res.log_frame(spark).select("seq", "column", "action", "affected_rows",
+                                               "lower_bound", "upper_bound"), 4)
+
+
+@query("recommend_plan")
+def recommend_plan(spark, sf_dir):
+    d = dirty_orders(spark, sf_dir)
+    rows = P.profile_columns(d)
+    dup = P.profile_summary(d).first()["duplicate_rows"]
+    plan = CP.recommend_plan(d, rows, dup)
+    return CP.plan_frame(spark, plan).drop("position")
+
+
+# --- EDA -----------------------------------------------------------------------------
+from tablewise.operators import eda as E  # noqa: E402
+
+LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("describe_lineitem")
+def describe_lineitem(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return rounded(E.describe(li, S.column_roles(li)[0]), 6)
+
+
+@query("skew_lineitem")
+def skew_lineitem(spark, sf_dir):
+    return rounded(E.skewness(table(spark, sf_dir, "lineitem")), 6)
+
+
+@query("top_values_orders")
+def top_values_orders(spark, sf_dir):
+    return E.top_values(table(spark, sf_dir, "orders"), 5)
+
+
+@query("cardinality_orders")
+def cardinality_orders(spark, sf_dir):
+    return E.cardinality(table(spark, sf_dir, "orders"))
+
+
+@query("correlation_matrix")
+def correlation_matrix(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return rounded(E.correlation_matrix(li, S.column_roles(li)[0]), 6)
+
+
+@query("top_correlations")
+def top_correlations(spark, sf_dir):
+    return E.top_correlations(order_features(spark, sf_dir))
+
+
+@query("target_info_numeric")
+def target_info_numeric(spark, sf_dir):
+    return rounded(E.target_info(table(spark, sf_dir, "orders"), "o_totalprice"), 4)
+
+
+@query("target_info_categorical")
+def target_info_categorical(spark, sf_dir):
+    return E.target_info(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("class_balance")
+def class_balance(spark, sf_dir):
+    return rounded(E.class_balance(table(spark, sf_dir, "orders"), "o_orderstatus"), 6)
+
+
+@query("distribution_labels")
+def distribution_labels(spark, sf_dir):
+    return E.distribution_labels(order_features(spark, sf_dir))
+
+
+@query("key_findings")
+def key_findings(spark, sf_dir):
+    return rounded(E.key_findings(order_features(spark, sf_dir), "returned"), 4)
+
+
+@query("suggest_features")
+def suggest_features(spark, sf_dir):
+    return E.suggest_features(order_features(spark, sf_dir), "returned")
+
+
+@query("apply_features")
+def apply_features(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    return rounded(E.apply_features(of, E.suggest_features(of, "returned")), 6)

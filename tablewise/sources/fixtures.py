@@ -46,8 +46,11 @@ join (select l_orderkey, cast(count(*) as bigint) as n_lines, sum(l_quantity) as
 
 def with_fixtures(sql: str) -> str:
     """Prefix an oracle query with the fixture CTEs it may reference."""
-    return (f"with dirty_orders as ({DIRTY_ORDERS_SQL}), order_features as ({ORDER_FEATURES_SQL})\n"
-            + sql)
+    head = f"with dirty_orders as ({DIRTY_ORDERS_SQL}), order_features as ({ORDER_FEATURES_SQL})"
+    body = sql.lstrip()
+    if body[:4].lower() == "with":
+        return head + ",\n" + body[4:]
+    return head + "\n" + body
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
