@@ -244,3 +244,69 @@ union all
 select a || '_per_' || b, 'ratio', a, b from (""" + " union all ".join(
     f"select '{_F_NT[i][1]}' as a, '{_F_NT[j][1]}' as b, corr(cast({_F_NT[j][1]} as double), cast({_F_NT[i][1]} as double)) as r from order_features"
     for i, j in _npairs) + ") where abs(r) >= 0.7")
+
+# --- chart data ----------------------------------------------------------------------
+_fall = [(i, j) for i in range(len(_F_NUM)) for j in range(len(_F_NUM))]
+oracle("heatmap_features", "\n union all \n".join(
+    f"""select cast({i} as integer) as i, cast({j} as integer) as j, '{_F_NUM[i]}' as feature_1,
+    '{_F_NUM[j]}' as feature_2, round(case when isnan(r) then null else r end, 6) as correlation
+    from (select corr(cast({_F_NUM[j]} as double), cast({_F_NUM[i]} as double)) as r from order_features)"""
+    for i, j in _fall))
+oracle("histogram_price", """
+with r as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi,
+                  (max(l_extendedprice) - min(l_extendedprice)) / 30 as w from lineitem),
+b as (select cast(least(floor((l_extendedprice - r.lo) / r.w), 29) as integer) as bin, count(*) as c
+      from lineitem, r where l_extendedprice is not null group by 1)
+select cast(g.range as integer) as bin, round(r.lo + g.range * r.w, 6) as lower,
+       round(r.lo + (g.range + 1) * r.w, 6) as upper, cast(coalesce(b.c, 0) as bigint) as count
+from range(30) g, r left join b on b.bin = g.range""")
+oracle("density_price", """
+with s as (select count(o_totalprice) as n, stddev_samp(o_totalprice) as sd, min(o_totalprice) as lo,
+                  max(o_totalprice) as hi from orders),
+p as (select n, sd * pow(n, -1.0 / 5.0) as bw, lo from s, (select 1)),
+g as (select n, bw, lo - 3.0 * bw as start, ((select hi from s) + 3.0 * bw - (lo - 3.0 * bw)) / 199 as step from p),
+f as (select o_totalprice as v, count(*) as c from orders where o_totalprice is not null group by 1)
+select cast(pt.range as integer) as point, round(g.start + pt.range * g.step, 4) as x,
+       round(sum(f.c * exp(-pow((g.start + pt.range * g.step - f.v) / g.bw, 2) / 2)) / (g.n * g.bw * sqrt(2 * pi())), 14) as density
+from range(200) pt, g, f group by pt.range, g.start, g.step, g.n, g.bw""")
+oracle("box_by_flag", """
+with qq as (select l_returnflag as grp, quantile_cont(l_extendedprice, 0.25) as q1,
+                   quantile_cont(l_extendedprice, 0.5) as median, quantile_cont(l_extendedprice, 0.75) as q3
+            from lineitem where l_extendedprice is not null and l_returnflag is not null group by 1),
+fe as (select *, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence from qq)
+select grp as "group", round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3,
+       round(lower_fence, 6) as lower_fence, round(upper_fence, 6) as upper_fence, count(*) as count,
+       round(min(case when v between lower_fence and upper_fence then v end), 6) as whisker_low,
+       round(max(case when v between lower_fence and upper_fence then v end), 6) as whisker_high,
+       cast(count_if(not (v between lower_fence and upper_fence)) as bigint) as outliers
+from fe join (select l_returnflag as g2, l_extendedprice as v from lineitem where l_extendedprice is not null) d
+  on d.g2 = fe.grp
+group by grp, q1, median, q3, lower_fence, upper_fence""")
+oracle("box_outliers_events", """
+with fe as (select event_type as grp, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
+            from events where value is not null and event_type is not null group by 1)
+select e.event_type as "group", e.value as value from events e join fe on e.event_type = fe.grp
+where e.value < q1 - 1.5 * (q3 - q1) or e.value > q3 + 1.5 * (q3 - q1)""")
+oracle("bar_priority", """
+select o_orderpriority, count(*) as count from orders where o_orderpriority is not null group by 1""")
+oracle("trendline", """
+select round(regr_slope(l_extendedprice, l_quantity), 6) as slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 6) as intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) as r2,
+       cast(regr_count(l_extendedprice, l_quantity) as bigint) as n from lineitem""")
+oracle("strongest_pair", f"""
+select feature_1, feature_2, round(r, 6) as correlation from ({_FCORR})
+where r is not null and not isnan(r) order by abs(r) desc, i, j limit 1""")
+oracle("scatter_points", """
+select n_lines as x, sum_qty as y, o_orderpriority as color from order_features""")
+oracle("chart_manifest", f"""
+select * from (
+  select 'correlation_heatmap' as name, 'heatmap' as type, cast(null as varchar) as x,
+         cast(null as varchar) as y, cast(null as varchar) as "group"
+  union all select 'distribution_o_orderkey', 'histogram', 'o_orderkey', null, null
+  union all select 'boxplot_o_orderkey', 'boxplot', g, 'o_orderkey', g
+     from (select case when count(distinct o_orderpriority) <= 10 then 'o_orderpriority' end as g from order_features)
+  union all select * from (select 'scatterplot_' || feature_1 || '_' || feature_2, 'scatterplot', feature_1, feature_2,
+     (select case when count(distinct o_orderpriority) <= 8 then 'o_orderpriority' end from order_features)
+     from ({_FCORR}) where r is not null order by abs(r) desc, i, j limit 1))
+union all select 'bar_o_orderpriority', 'bar', 'o_orderpriority', 'count', null""")

@@ -220,3 +220,62 @@ def suggest_features(spark, sf_dir):
 def apply_features(spark, sf_dir):
     of = order_features(spark, sf_dir)
     return rounded(E.apply_features(of, E.suggest_features(of, "returned")), 6)
+
+
+# --- chart data ----------------------------------------------------------------------
+from tablewise.operators import charts as V  # noqa: E402
+
+
+@query("heatmap_features")
+def heatmap_features(spark, sf_dir):
+    return rounded(V.heatmap_data(order_features(spark, sf_dir)), 6)
+
+
+@query("histogram_price")
+def histogram_price(spark, sf_dir):
+    return rounded(V.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 30), 6)
+
+
+@query("density_price")
+def density_price(spark, sf_dir):
+    d = V.density_curve(table(spark, sf_dir, "orders"), "o_totalprice", 200)
+    return d.select("point", F.round("x", 4).alias("x"), F.round("density", 14).alias("density"))
+
+
+@query("box_by_flag")
+def box_by_flag(spark, sf_dir):
+    return rounded(V.box_stats(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag")[0], 6)
+
+
+@query("box_outliers_events")
+def box_outliers_events(spark, sf_dir):
+    return V.box_stats(table(spark, sf_dir, "events"), "value", "event_type")[1]
+
+
+@query("bar_priority")
+def bar_priority(spark, sf_dir):
+    return V.value_frequency(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("trendline")
+def trendline(spark, sf_dir):
+    return rounded(V.ols_trendline(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 6)
+
+
+@query("strongest_pair")
+def strongest_pair(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    num = S.non_constant_numeric(of)
+    best = V.strongest_pair(E.correlation_pairs(of, num))
+    return rounded(spark.createDataFrame([(best[2], best[3], best[4])],
+                                         "feature_1 string, feature_2 string, correlation double"), 6)
+
+
+@query("scatter_points")
+def scatter_points(spark, sf_dir):
+    return V.scatter_points(order_features(spark, sf_dir), "n_lines", "sum_qty", "o_orderpriority")
+
+
+@query("chart_manifest")
+def chart_manifest(spark, sf_dir):
+    return V.chart_manifest(order_features(spark, sf_dir), "o_orderpriority")
