@@ -310,3 +310,60 @@ select * from (
      (select case when count(distinct o_orderpriority) <= 8 then 'o_orderpriority' end from order_features)
      from ({_FCORR}) where r is not null order by abs(r) desc, i, j limit 1))
 union all select 'bar_o_orderpriority', 'bar', 'o_orderpriority', 'count', null""")
+
+# --- ML preparation and metrics ------------------------------------------------------
+oracle("label_encode", """
+select o_orderkey, cast(dense_rank() over (order by o_orderpriority) - 1 as double) as label
+from orders where o_orderpriority is not null""")
+_SC = ["c_acctbal", "o_totalprice", "sum_qty", "avg_disc"]
+oracle("standard_scale", "with m as (select " + ", ".join(
+    f"quantile_cont({c}, 0.5) as med_{c}" for c in _SC) + " from order_features), s as (select " + ", ".join(
+    f"avg(coalesce({c}, med_{c})) as mu_{c}, stddev_pop(coalesce({c}, med_{c})) as sd_{c}" for c in _SC)
+    + " from order_features, m) select o_orderkey, " + ", ".join(
+    f"round((coalesce({c}, med_{c}) - mu_{c}) / case when sd_{c} = 0 then 1 else sd_{c} end, 6) as {c}" for c in _SC)
+    + " from order_features, m, s")
+oracle("one_hot", """
+with cats as (select distinct c_mktsegment as v from order_features where c_mktsegment is not null)
+select o.o_orderkey, 'c_mktsegment_' || cats.v as feature,
+       case when o.c_mktsegment = cats.v then 1.0 else 0.0 end as value
+from order_features o, cats""")
+oracle("hash_split", """
+select o_orderkey, case when ('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 8))::bigint % 100 < 80
+                        then 'train' else 'test' end as split from orders""")
+_FP = """(select returned as label, cast(n_lines > 4 as integer) as prediction, avg_disc as score
+          from order_features)"""
+oracle("classification_metrics", f"""
+with conf as (select label as y, prediction as p, count(*) as n from {_FP} group by 1, 2),
+cls as (select y as c from conf union select p from conf),
+per as (select c, coalesce((select sum(n) from conf where y = c), 0) as support,
+               coalesce((select sum(n) from conf where p = c), 0) as predicted,
+               coalesce((select sum(n) from conf where y = c and p = c), 0) as tp from cls),
+pr as (select *, case when predicted = 0 then 0.0 else tp / predicted end as prec,
+              case when support = 0 then 0.0 else tp / support end as rec from per)
+select round(sum(tp) / sum(support), 6) as accuracy,
+       round(sum(prec * support) / sum(support), 6) as precision,
+       round(sum(rec * support) / sum(support), 6) as recall,
+       round(sum(case when prec + rec = 0 then 0.0 else 2 * prec * rec / (prec + rec) end * support)
+             / sum(support), 6) as f1_score
+from pr""")
+_AUC = """select round(sum(pos * (coalesce(nb, 0) + neg * 0.5)) / (sum(pos) * sum(neg)), 6) as roc_auc
+from (select *, sum(neg) over (order by score rows between unbounded preceding and 1 preceding) as nb
+      from (select score, count_if(label = 1) as pos, count_if(label <> 1) as neg from {src}
+            where score is not null and label is not null group by score))"""
+oracle("roc_auc_binary", _AUC.format(src=_FP))
+oracle("roc_auc_ovr", """
+with lab as (select dense_rank() over (order by o_orderstatus) - 1 as y, avg_disc as s0, n_lines / 7.0 as s1,
+                    returned * 0.5 + avg_disc as s2 from order_features where o_orderstatus is not null),
+ex as (select y, 0 as cls, s0 as score from lab union all select y, 1, s1 from lab union all select y, 2, s2 from lab),
+g as (select cls, score, count_if(y = cls) as pos, count_if(y <> cls) as neg from ex group by 1, 2),
+per as (select cls, sum(pos * (coalesce(nb, 0) + neg * 0.5)) / (sum(pos) * sum(neg)) as auc
+        from (select *, sum(neg) over (partition by cls order by score
+                                       rows between unbounded preceding and 1 preceding) as nb from g)
+        group by cls)
+select cast(cls as integer) as cls, round(auc, 6) as roc_auc from per
+union all select cast(null as integer), round(avg(auc), 6) from per""")
+oracle("regression_metrics", """
+select round(avg((y - p) * (y - p)), 4) as mse, round(sqrt(avg((y - p) * (y - p))), 4) as rmse,
+       round(avg(abs(y - p)), 4) as mae,
+       round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 4) as r2_score
+from (select o_totalprice as y, sum_qty * 1500.0 as p from order_features)""")

@@ -279,3 +279,78 @@ def scatter_points(spark, sf_dir):
 @query("chart_manifest")
 def chart_manifest(spark, sf_dir):
     return V.chart_manifest(order_features(spark, sf_dir), "o_orderpriority")
+
+
+# --- ML preparation and metrics ------------------------------------------------------
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tablewise.operators import metrics as MT  # noqa: E402
+from tablewise.operators import prep as PR  # noqa: E402
+
+SCALE_COLS = ["c_acctbal", "o_totalprice", "sum_qty", "avg_disc"]
+
+
+@query("label_encode")
+def label_encode(spark, sf_dir):
+    df, _ = PR.label_encode(table(spark, sf_dir, "orders"), "o_orderpriority")
+    return df.select("o_orderkey", "label")
+
+
+@query("standard_scale")
+def standard_scale(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    pre = PR.fit_preprocessor(of, SCALE_COLS, [])
+    return rounded(of.select("o_orderkey", *PR.standard_scale_exprs(pre.stats)), 6)
+
+
+@query("one_hot")
+def one_hot(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    pre = PR.fit_preprocessor(of, [], ["c_mktsegment"])
+    names = F.array(*[F.lit(n) for n in pre.feature_names])
+    out = pre.transform(of).select("o_orderkey", vector_to_array("features").alias("v"))
+    return out.select("o_orderkey", F.posexplode("v").alias("slot", "value")).select(
+        "o_orderkey", F.element_at(names, F.col("slot") + 1).alias("feature"), "value")
+
+
+@query("hash_split")
+def hash_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    tr, te = PR.hash_split(o, "o_orderkey")
+    return (tr.select("o_orderkey", F.lit("train").alias("split"))
+            .unionByName(te.select("o_orderkey", F.lit("test").alias("split"))))
+
+
+def _formula_predictions(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    return of.select("o_orderkey", F.col("returned").alias("label"),
+                     (F.col("n_lines") > 4).cast("int").alias("prediction"),
+                     F.col("avg_disc").alias("score"))
+
+
+@query("classification_metrics")
+def classification_metrics(spark, sf_dir):
+    return rounded(MT.classification_metrics(_formula_predictions(spark, sf_dir)), 6)
+
+
+@query("roc_auc_binary")
+def roc_auc_binary(spark, sf_dir):
+    return rounded(MT.roc_auc_binary(_formula_predictions(spark, sf_dir)), 6)
+
+
+@query("roc_auc_ovr")
+def roc_auc_ovr(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    df, _ = PR.label_encode(of, "o_orderstatus")
+    df = df.select("label", F.array(F.col("avg_disc"), F.col("n_lines") / 7.0,
+                                    F.col("returned") * 0.5 + F.col("avg_disc")).alias("probability"))
+    per = MT.roc_auc_ovr(df)
+    return rounded(per.select(F.col("cls").cast("int").alias("cls"), "roc_auc")
+                   .unionByName(MT.roc_auc_macro(per).select(F.lit(None).cast("int").alias("cls"), "roc_auc")), 6)
+
+
+@query("regression_metrics")
+def regression_metrics(spark, sf_dir):
+    of = order_features(spark, sf_dir)
+    df = of.select(F.col("o_totalprice").alias("label"), (F.col("sum_qty") * 1500.0).alias("prediction"))
+    return rounded(MT.regression_metrics(df), 4)
