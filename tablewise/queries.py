@@ -354,3 +354,97 @@ def regression_metrics(spark, sf_dir):
     of = order_features(spark, sf_dir)
     df = of.select(F.col("o_totalprice").alias("label"), (F.col("sum_qty") * 1500.0).alias("prediction"))
     return rounded(MT.regression_metrics(df), 4)
+
+
+# --- models and attribution (rows-only checks: fitted models have no SQL oracle) ------
+from pyspark.ml.functions import array_to_vector  # noqa: E402
+
+from tablewise.operators import explain as X  # noqa: E402
+from tablewise.operators import models as M  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def _run(spark, sf_dir, target):
+    key = (sf_dir, target, id(spark))
+    if key not in _RUNS:
+        of = order_features(spark, sf_dir)
+        _RUNS[key] = M.train_supervised(of, target, key="o_orderkey")
+    return _RUNS[key]
+
+
+@query("leaderboard_cls")
+def leaderboard_cls(spark, sf_dir):
+    return _run(spark, sf_dir, "returned").leaderboard(spark)
+
+
+@query("leaderboard_reg")
+def leaderboard_reg(spark, sf_dir):
+    return _run(spark, sf_dir, "o_totalprice").leaderboard(spark)
+
+
+def _kmeans(spark, sf_dir):
+    key = (sf_dir, "kmeans", id(spark))
+    if key not in _RUNS:
+        emb = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+        _RUNS[key] = M.kmeans_search(emb)
+    return _RUNS[key]
+
+
+@query("kmeans_search")
+def kmeans_search(spark, sf_dir):
+    return M.leaderboard_frame(spark, "clustering", _kmeans(spark, sf_dir).metrics)
+
+
+@query("cluster_assign")
+def cluster_assign(spark, sf_dir):
+    return _kmeans(spark, sf_dir).assign().select("vec_id", "Cluster")
+
+
+def _forest(spark, sf_dir):
+    run = _run(spark, sf_dir, "o_totalprice")
+    return run, run.models["Random Forest Regressor"]
+
+
+def _forest_shap(spark, sf_dir):
+    key = (sf_dir, "forest_shap", id(spark))
+    if key not in _RUNS:
+        run, model = _forest(spark, sf_dir)
+        _RUNS[key] = X.tree_shap(model, run.test, "o_orderkey").persist()
+    return _RUNS[key]
+
+
+@query("tree_shap")
+def tree_shap(spark, sf_dir):
+    return _forest_shap(spark, sf_dir)
+
+
+@query("linear_shap")
+def linear_shap(spark, sf_dir):
+    run = _run(spark, sf_dir, "o_totalprice")
+    return X.linear_shap(run.models["Linear Regression"], run.train, run.test, "o_orderkey")
+
+
+@query("shap_importance")
+def shap_importance(spark, sf_dir):
+    run, _ = _forest(spark, sf_dir)
+    sh = X.choose_class(_forest_shap(spark, sf_dir))
+    return X.shap_importance(sh, run.preprocessor.feature_names)
+
+
+@query("local_explanation")
+def local_explanation(spark, sf_dir):
+    run, _ = _forest(spark, sf_dir)
+    return X.local_explanation(_forest_shap(spark, sf_dir), "o_orderkey", run.preprocessor.feature_names)
+
+
+@query("shap_distribution")
+def shap_distribution(spark, sf_dir):
+    run, _ = _forest(spark, sf_dir)
+    return X.shap_long(_forest_shap(spark, sf_dir), "o_orderkey", run.preprocessor.feature_names, run.test)
+
+
+@query("native_importance")
+def native_importance(spark, sf_dir):
+    run = _run(spark, sf_dir, "returned")
+    return X.native_importance(run.models["Random Forest"], run.preprocessor.feature_names)
