@@ -367,3 +367,11 @@ select round(avg((y - p) * (y - p)), 4) as mse, round(sqrt(avg((y - p) * (y - p)
        round(avg(abs(y - p)), 4) as mae,
        round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 4) as r2_score
 from (select o_totalprice as y, sum_qty * 1500.0 as p from order_features)""")
+
+# --- result tables --------------------------------------------------------------------
+oracle("dataset_summary", f"""
+with {_PLAN_CTE}
+select (select count(*) from dirty_orders) as original_rows,
+       (select count(*) from d2 where date_text is not null) as cleaned_rows,
+       cast(7 as bigint) as columns, cast(4 as bigint) as numeric_columns, cast(3 as bigint) as categorical_columns,
+       'o_totalprice' as target""")

@@ -448,3 +448,23 @@ def shap_distribution(spark, sf_dir):
 def native_importance(spark, sf_dir):
     run = _run(spark, sf_dir, "returned")
     return X.native_importance(run.models["Random Forest"], run.preprocessor.feature_names)
+
+
+# --- result tables --------------------------------------------------------------------
+from tablewise.operators import results as RS  # noqa: E402
+
+
+@query("dataset_summary")
+def dataset_summary(spark, sf_dir):
+    d = dirty_orders(spark, sf_dir)
+    res = CP.apply_plan(d, DEMO_PLAN)
+    return RS.dataset_summary(spark, res.original_shape[0], res.data, res.data.count(), "o_totalprice")
+
+
+@query("run_summary")
+def run_summary(spark, sf_dir):
+    from tablewise.plans.analyze import analyze
+    a = analyze(dirty_orders(spark, sf_dir), "o_totalprice", DEMO_PLAN, key="o_orderkey")
+    return a.tables["run_summary"].select("dataset.*", "problem_type", "selected_model", "attribution_method",
+                                          F.size("cleaning_actions").alias("n_actions"),
+                                          F.size("top_predictive_features").alias("n_features"))
