@@ -153,7 +153,7 @@ def select_champion(problem_type: str, rows: list[dict]) -> str | None:
 
 def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude: list[str] | None = None,
                      settings: ModelSettings | None = None, fit_scope: str = "train",
-                     candidates: list[str] | None = None) -> SupervisedRun:
+                     candidates: list[str] | None = None, parallel: int = 3) -> SupervisedRun:
     """M1–M9 + M10–M15 + M19–M25 for one target."""
     s = settings or ModelSettings()
     problem = detect_problem_type(df, target)
@@ -175,7 +175,10 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
     n_train = train_v.count()
     run = SupervisedRun(problem, target, labels, pre, train_v, test_v)
     names = candidates or (CLASSIFIERS if problem == "classification" else REGRESSORS)
-    for pos, name in enumerate(names):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(item):
+        pos, name = item
         try:
             est = (classifier(name, n_train, len(labels), s) if problem == "classification" else regressor(name, s))
             model = est.fit(train_v)
@@ -184,10 +187,19 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
                 m = _class_metrics(pred, len(labels))
             else:
                 m = MT.regression_metrics(pred, "label", "prediction").first().asDict()
-            run.models[name] = model
-            run.metrics.append(dict(position=pos, algorithm=name, **m))
+            return pos, name, model, m, None
         except Exception as e:  # noqa: BLE001 - a failing candidate is logged and skipped
-            run.failures.append((name, f"{type(e).__name__}: {e}"))
+            return pos, name, None, None, f"{type(e).__name__}: {e}"
+
+    # Candidates are independent: their fits run as concurrent Spark jobs.
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        done = list(pool.map(fit, list(enumerate(names))))
+    for pos, name, model, m, err in sorted(done, key=lambda t: t[0]):
+        if err:
+            run.failures.append((name, err))
+            continue
+        run.models[name] = model
+        run.metrics.append(dict(position=pos, algorithm=name, **m))
     run.champion = select_champion(problem, run.metrics)
     return run
 
@@ -209,7 +221,7 @@ class ClusteringRun:
 
 
 def kmeans_search(features: DataFrame, ks=(2, 3, 4, 5), restarts: int = 10, seed: int = 42,
-                  features_col: str = "features", max_iter: int = 300) -> ClusteringRun:
+                  features_col: str = "features", max_iter: int = 300, parallel: int = 8) -> ClusteringRun:
     """K-means for each k (while rows > k), ``restarts`` seeds each,
     the least training cost kept per k; best k by silhouette.
 
@@ -222,16 +234,22 @@ def kmeans_search(features: DataFrame, ks=(2, 3, 4, 5), restarts: int = 10, seed
     run = ClusteringRun(data)
     evaluator = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
                                     distanceMeasure="squaredEuclidean")
+    from concurrent.futures import ThreadPoolExecutor
+
+    todo = [(pos, k, r) for pos, k in enumerate(ks) if n > k for r in range(restarts)]
+
+    def fit(item):
+        pos, k, r = item
+        m = KMeans(k=k, seed=seed + r, featuresCol=features_col, maxIter=max_iter).fit(data)
+        return pos, k, r, m, m.summary.trainingCost
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        fits = list(pool.map(fit, todo))
     for pos, k in enumerate(ks):
-        if n <= k:
+        cands = [(r, m, cost) for p, kk, r, m, cost in fits if kk == k]
+        if not cands:
             continue
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, featuresCol=features_col, maxIter=max_iter).fit(data)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (m, cost)
-        model, cost = best
+        _, model, cost = min(cands, key=lambda t: (t[2], t[0]))  # least cost; earlier seed on ties
         sil = evaluator.evaluate(model.transform(data))
         run.models[k] = model
         run.metrics.append(dict(position=pos, algorithm=f"KMeans (k={k})", k=k, silhouette_score=sil,
