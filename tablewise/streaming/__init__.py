@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The reference reads one batch table per run; it has no stream source,
+watermark, event-time window, state or late-data handling, so no streaming
+operator is built here (see README, "Re-aimed or not built").
+"""
