@@ -32,6 +32,7 @@ from tablewise.functions.exprs import q
 _GROUP = "__g"
 _COL = "__c"
 _VAL = "__v"
+_W = "__w"
 
 
 @dataclass
@@ -151,13 +152,6 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
         T.StructField(_COL, T.IntegerType()), T.StructField("lo", T.DoubleType()),
         T.StructField("hi", T.DoubleType())])
 
-    def _probes(active):
-        """Targets sharing an interval are one probe: the data is bucketed once per probe."""
-        probes: dict = {}
-        for t in active:
-            probes.setdefault((t.group, t.col, t.lo, t.hi), []).append(t)
-        return probes
-
     def _bucketed(probes):
         """(pid, bucket, value) rows for the values inside each probe's interval."""
         keys = list(probes)
@@ -174,7 +168,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
                 b = (F.lit(0) if width <= 0 else
                      F.least(F.floor((v - float(lo)) / width * buckets), F.lit(buckets - 1)))
                 items.append(F.when(inside, F.struct(F.lit(pid).alias("pid"), b.cast("int").alias("b"),
-                                                     v.alias(_VAL))))
+                                                     v.alias(_VAL), F.lit(1).cast("bigint").alias(_W))))
             arr = F.filter(F.array(*items), lambda x: x.isNotNull())
             return df.where(cond).select(F.inline(arr))
         # Grouped: intervals differ per group; the probe table is bounded
@@ -186,15 +180,41 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
         width = F.col("hi") - F.col("lo")
         b = F.when(width <= 0, F.lit(0)).otherwise(
             F.least(F.floor((F.col(_VAL) - F.col("lo")) / width * buckets), F.lit(buckets - 1))).cast("int")
-        return cand.select(F.col("tid").alias("pid"), b.alias("b"), F.col(_VAL))
+        return cand.select(F.col("tid").alias("pid"), b.alias("b"), F.col(_VAL), F.lit(1).cast("bigint").alias(_W))
+
+    _refine(targets, _probes, _bucketed, leaf)
 
+    for key, entries in plan.items():
+        out = []
+        for e in entries:
+            if e is None:
+                out.append(None)
+                continue
+            tts, frac = e
+            out.append(_interp(tts[0].value, tts[1].value if len(tts) > 1 else None, frac))
+        result[key] = out
+    return result
+
+
+def _probes(active):
+    """Targets sharing an interval are one probe: the data is bucketed once per probe."""
+    probes: dict = {}
+    for t in active:
+        probes.setdefault((t.group, t.col, t.lo, t.hi), []).append(t)
+    return probes
+
+
+def _refine(targets: list, probes_of, bucketed, leaf: int) -> None:
+    """Distributed selection core. ``bucketed(probes)`` yields (pid, b, value, weight)
+    rows for the values inside each probe's interval; ranks count weight."""
     for _ in range(64):
         active = [t for t in targets if t.value is None and not t.fetch]
         if not active:
             break
-        probes = _probes(active)
-        rows = (_bucketed(probes).groupBy("pid", "b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min(_VAL).alias("mn"), F.max(_VAL).alias("mx"))
+        probes = probes_of(active)
+        rows = (bucketed(probes).groupBy("pid", "b")
+                .agg(F.count(F.lit(1)).alias("rows"), F.sum(_W).alias("n"), F.min(_VAL).alias("mn"),
+                     F.max(_VAL).alias("mx"))
                 .collect())  # ≤ probes × buckets rows
         per: dict = {}
         for row in rows:
@@ -208,7 +228,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
                     t.lo, t.hi = row["mn"], row["mx"]
                     if t.lo == t.hi:
                         t.value = t.lo
-                    elif row["n"] <= leaf:
+                    elif row["rows"] <= leaf:
                         t.fetch = True
                     break
                 seen += row["n"]
@@ -217,15 +237,53 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
 
     fetch = [t for t in targets if t.value is None]
     if fetch:
-        probes = _probes(fetch)
+        probes = probes_of(fetch)
         vals: dict = {}
-        for row in _bucketed(probes).select("pid", _VAL).collect():  # ≤ leaf rows per probe
-            vals.setdefault(row["pid"], []).append(row[_VAL])
+        for row in bucketed(probes).select("pid", _VAL, _W).collect():  # ≤ leaf rows per probe
+            vals.setdefault(row["pid"], []).append((row[_VAL], row[_W]))
         for pid, key in enumerate(probes):
             ordered = sorted(vals[pid])
             for t in probes[key]:
-                t.value = ordered[t.rank - t.below]
+                acc = t.below
+                for v, w in ordered:
+                    acc += w
+                    if acc > t.rank:
+                        t.value = v
+                        break
 
+
+def _targets_for(stats_rows, cols, probs):
+    """Rank targets (k and k+1 per prob) from per (group, column) n/min/max rows."""
+    targets: list[_Target] = []
+    plan: dict = {}
+    by_rank: dict = {}
+    for gkey, i, n, lo, hi in stats_rows:
+        entries = []
+        for p in probs:
+            if not n:
+                entries.append(None)
+                continue
+            h = p * (n - 1)
+            k = int(math.floor(h))
+            frac = h - k
+            ks = [k] + ([k + 1] if frac > 0 and k + 1 < n else [])
+            tts = []
+            for rank in ks:
+                key = (gkey, i, rank)
+                if key not in by_rank:
+                    t = _Target(len(targets), gkey, i, rank, lo, hi)
+                    if t.lo == t.hi:
+                        t.value = t.lo
+                    targets.append(t)
+                    by_rank[key] = t
+                tts.append(by_rank[key])
+            entries.append((tts, frac))
+        plan[(gkey, cols[i])] = entries
+    return targets, plan
+
+
+def _finish(plan: dict) -> dict:
+    result = {}
     for key, entries in plan.items():
         out = []
         for e in entries:
@@ -238,6 +296,51 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     return result
 
 
+def quantiles_from_counts(freq: DataFrame, cols: list[str], probs: list[float], column: str = "column",
+                          value: str = "num_value", weight: str = "count", method: str = "auto",
+                          small_n: int = 2_000_000, buckets: int = 1024, leaf: int = 20_000) -> dict:
+    """Exact quantiles from a (column, value, count) frequency table.
+
+    Same semantics as :func:`quantiles` (ranks count the weights). ``small``:
+    Spark's ``percentile`` with its frequency argument, one group per column
+    (each holds that column's distinct values, hence the bound). ``refine``:
+    the weighted distributed selection. Returns {("", column): [values]}.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    src = freq.where(F.col(column).isin(cols) & F.col(value).isNotNull())
+    st = {r[column]: r for r in src.groupBy(column).agg(
+        F.sum(weight).alias("n"), F.count(F.lit(1)).alias("d"), F.min(value).alias("lo"),
+        F.max(value).alias("hi")).collect()}
+    if method == "auto":
+        method = "small" if max((r["d"] for r in st.values()), default=0) <= small_n else "refine"
+    if method == "small":
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        rows = src.groupBy(column).agg(F.percentile(F.col(value), arr, F.col(weight)).alias("p")).collect()
+        out = {("", c): [None] * len(probs) for c in cols}
+        for r in rows:
+            out[("", r[column])] = list(r["p"])
+        return out
+    stats_rows = [("", i, (st[c]["n"] if c in st else 0), st[c]["lo"] if c in st else None,
+                   st[c]["hi"] if c in st else None) for i, c in enumerate(cols)]
+    targets, plan = _targets_for(stats_rows, cols, probs)
+
+    def bucketed(probes):
+        items = []
+        for pid, (_, i, lo, hi) in enumerate(probes):
+            v = F.col(value)
+            inside = (F.col(column) == cols[i]) & v.between(float(lo), float(hi))
+            width = float(hi) - float(lo)
+            b = F.lit(0) if width <= 0 else F.least(F.floor((v - float(lo)) / width * buckets), F.lit(buckets - 1))
+            items.append(F.when(inside, F.struct(F.lit(pid).alias("pid"), b.cast("int").alias("b"),
+                                                 v.alias(_VAL), F.col(weight).cast("bigint").alias(_W))))
+        return src.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
+
+    _refine(targets, _probes, bucketed, leaf)
+    return _finish(plan)
+
+
 def quantile_frame(spark, result: dict, probs: list[float], group_name: str | None = None) -> DataFrame:
     """Long DataFrame (group?, column, p, value) from a :func:`quantiles` result."""
     rows = []

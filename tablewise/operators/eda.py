@@ -106,18 +106,41 @@ def cardinality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 # --- E5, E6 ----------------------------------------------------------------------
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> list[tuple]:
-    """(i, j, col_i, col_j, r) for i < j; r is NULL for constant or empty pairs."""
+    """(i, j, col_i, col_j, r) for i < j; r is NULL for constant or empty pairs.
+
+    Pass 1 (one aggregate) takes null counts and means. Pairs of columns with
+    no nulls use the two-pass form: Σ(x−x̄)(y−ȳ) and Σ(x−x̄)² as plain sums in
+    pass 2 (numerically stable, cheap). Pairs touching a column with nulls use
+    pairwise-complete ``regr_*`` aggregates, chunked to ≈200 expressions.
+    """
     if cols is None:
         cols, _ = column_roles(df)
+    if len(cols) < 2:
+        return []
+    x = [q(c).cast("double") for c in cols]
+    r1 = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(v.isNull()).alias(f"m{i}") for i, v in enumerate(x)],
+                *[F.avg(v).alias(f"a{i}") for i, v in enumerate(x)]).first()
+    full = [i for i in range(len(cols)) if r1[f"m{i}"] == 0 and r1[f"a{i}"] is not None]
+    fullset = set(full)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out = []
-    for chunk in chunks(pairs, PAIRS_PER_JOB):
-        r = df.agg(*[safe_corr(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"r{i}_{j}")
-                     for i, j in chunk]).first()
+    res: dict = {}
+    if len(full) >= 2:
+        d = {i: x[i] - F.lit(float(r1[f"a{i}"])) for i in full}
+        fp = [(i, j) for i, j in pairs if i in fullset and j in fullset]
+        for chunk in chunks(fp, 3 * PAIRS_PER_JOB):
+            need = sorted({i for p in chunk for i in p})
+            r2 = df.agg(*[F.sum(d[i] * d[i]).alias(f"s{i}") for i in need],
+                        *[F.sum(d[i] * d[j]).alias(f"c{i}_{j}") for i, j in chunk]).first()
+            for i, j in chunk:
+                den = math.sqrt(r2[f"s{i}"] * r2[f"s{j}"]) if r2[f"s{i}"] and r2[f"s{j}"] else 0.0
+                res[(i, j)] = r2[f"c{i}_{j}"] / den if den > 0 else None
+    rest = [(i, j) for i, j in pairs if (i, j) not in res and not (i in fullset and j in fullset)]
+    for chunk in chunks(rest, PAIRS_PER_JOB):
+        r = df.agg(*[safe_corr(x[i], x[j]).alias(f"r{i}_{j}") for i, j in chunk]).first()
         for i, j in chunk:
             v = r[f"r{i}_{j}"]
-            out.append((i, j, cols[i], cols[j], None if v is None or math.isnan(v) else float(v)))
-    return out
+            res[(i, j)] = None if v is None or math.isnan(v) else float(v)
+    return [(i, j, cols[i], cols[j], res.get((i, j))) for i, j in pairs]
 
 
 CORR_SCHEMA = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),

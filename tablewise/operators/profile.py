@@ -98,11 +98,12 @@ def sample_values(df: DataFrame, k: int = 3, cols: list[str] | None = None) -> d
     return distinct_and_samples(df, cols, k)[1]
 
 
-def distinct_and_samples(df: DataFrame, cols: list[str], k: int = 3) -> tuple[dict, dict]:
+def distinct_and_samples(df: DataFrame, cols: list[str], k: int = 3, ft: DataFrame | None = None,
+                         non_null: dict | None = None) -> tuple[dict, dict]:
     """P4 + P5 from one frequency table in one job (its exchange is reused)."""
     if not cols:
         return {}, {}
-    ft = frequency_table(df, cols)
+    ft = ft if ft is not None else frequency_table(df, cols)
     # Both branches keep ``count`` alive so their plans match and the
     # frequency-table exchange is computed once (ReusedExchange).
     counts = ft.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"),
@@ -117,14 +118,17 @@ def distinct_and_samples(df: DataFrame, cols: list[str], k: int = 3) -> tuple[di
                                         F.col("str_value").asc_nulls_last()], k)
         picked = picked.groupBy("column").agg(
             F.sort_array(F.collect_list(F.struct("rank", text.alias("t"), "count"))).alias("s"))
-        res = counts.join(picked, "column", "left").collect()  # one row per column
+        res = [r.asDict() for r in counts.join(picked, "column", "left").collect()]  # one row per column
     else:
-        res = counts.select("column", "unique_count", F.lit(None).alias("s")).collect()
+        res = [r.asDict() for r in counts.select("column", "unique_count", "non_null",
+                                                 F.lit(None).alias("s")).collect()]
     uniq = {c: 0 for c in cols}
     samples: dict[str, list[str]] = {c: [] for c in cols}
     for r in res:
         uniq[r["column"]] = int(r["unique_count"])
         samples[r["column"]] = [x["t"] for x in (r["s"] or [])]
+        if non_null is not None and "non_null" in r:
+            non_null[r["column"]] = int(r["non_null"] or 0)
     return uniq, samples
 
 
@@ -175,28 +179,54 @@ PROFILE_SCHEMA = T.StructType([
 
 
 def profile_columns(df: DataFrame, approx: bool = False) -> list[dict]:
-    """P8 as bounded driver data: one dict per column."""
-    fields = [f for f in df.schema.fields]
-    cols = [f.name for f in fields]
-    # job 1: counts
-    r1 = df.agg(F.count(F.lit(1)).alias("__n"),
-                *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    n = r1["__n"]
-    # job 2: frequency table → distinct counts and samples
-    prof_cols = [f.name for f in fields if column_role(f.dataType) != "other"]
+    """P8 as bounded driver data: one dict per column.
+
+    Exact mode builds the frequency table once (persisted) and derives every
+    statistic from it: null counts (rows − Σcount), distinct counts and
+    samples (one job), quartiles (weighted selection over distinct values) and
+    outlier counts (one aggregate). The raw rows are scanned twice: a count
+    and the frequency table itself.
+    """
     if approx:
-        uniq = nunique(df, prof_cols, approx=True)
-        samples = sample_values(df, 3, prof_cols)
-    else:
-        uniq, samples = distinct_and_samples(df, prof_cols, 3)
-    # job 3: quartiles and outliers for numeric columns with > 5 distinct values
-    numeric = [f.name for f in fields if column_role(f.dataType) == "numeric"
-               and uniq.get(f.name, 0) > OUTLIER_MIN_DISTINCT]
-    bounds = _approx_bounds(df, numeric) if approx else iqr_bounds(df, numeric)
-    outl = outlier_counts(df, bounds) if numeric else {}
+        return _profile_columns_approx(df)
+    from pyspark import StorageLevel
+    from tablewise.functions.quantiles import quantiles_from_counts
+    fields = list(df.schema.fields)
+    prof_cols = [f.name for f in fields if column_role(f.dataType) != "other"]
+    other = [f.name for f in fields if column_role(f.dataType) == "other"]
+    n = df.count()
+    nulls = {}
+    if other:
+        r = df.agg(*[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(other)]).first()
+        nulls.update({c: r[f"m{i}"] for i, c in enumerate(other)})
+    ft = frequency_table(df, prof_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        non_null: dict = {}
+        uniq, samples = distinct_and_samples(df, prof_cols, 3, ft=ft, non_null=non_null)
+        nulls.update({c: n - non_null.get(c, 0) for c in prof_cols})
+        numeric = [f.name for f in fields if column_role(f.dataType) == "numeric"
+                   and uniq.get(f.name, 0) > OUTLIER_MIN_DISTINCT]
+        qs = quantiles_from_counts(ft, numeric, [0.25, 0.75])
+        bounds = {}
+        for c in numeric:
+            q1, q3 = qs[("", c)]
+            bounds[c] = (q1, q3, q1 - IQR_K * (q3 - q1), q3 + IQR_K * (q3 - q1))
+        outl = {}
+        if numeric:
+            v = F.col("num_value")
+            r = ft.agg(*[F.sum(F.when((F.col("column") == c) & ((v < F.lit(b[2])) | (v > F.lit(b[3]))),
+                                      F.col("count")).otherwise(0)).alias(f"o{i}")
+                         for i, (c, b) in enumerate(bounds.items())]).first()
+            outl = {c: int(r[f"o{i}"] or 0) for i, c in enumerate(bounds)}
+    finally:
+        ft.unpersist()
+    return _rows(fields, n, nulls, uniq, samples, outl, bounds)
+
+
+def _rows(fields, n, nulls, uniq, samples, outl, bounds):
     rows = []
     for i, f in enumerate(fields):
-        m = r1[f"m{i}"]
+        m = nulls.get(f.name, 0)
         b = bounds.get(f.name, (None, None, None, None))
         rows.append(dict(position=i, column=f.name, dtype=f.dataType.simpleString(),
                          role=column_role(f.dataType), missing_count=int(m),
@@ -208,6 +238,23 @@ def profile_columns(df: DataFrame, approx: bool = False) -> list[dict]:
     return rows
 
 
+def _profile_columns_approx(df: DataFrame) -> list[dict]:
+    """Sketch-based profile: approximate distinct counts and quartiles."""
+    fields = list(df.schema.fields)
+    cols = [f.name for f in fields]
+    r1 = df.agg(F.count(F.lit(1)).alias("__n"),
+                *[F.count_if(q(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    prof_cols = [f.name for f in fields if column_role(f.dataType) != "other"]
+    uniq = nunique(df, prof_cols, approx=True)
+    samples = sample_values(df, 3, prof_cols)
+    numeric = [f.name for f in fields if column_role(f.dataType) == "numeric"
+               and uniq.get(f.name, 0) > OUTLIER_MIN_DISTINCT]
+    bounds = _approx_bounds(df, numeric)
+    outl = outlier_counts(df, bounds) if numeric else {}
+    nulls = {c: r1[f"m{i}"] for i, c in enumerate(cols)}
+    return _rows(fields, r1["__n"], nulls, uniq, samples, outl, bounds)
+
+
 def _approx_bounds(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> dict[str, tuple]:
     if not cols:
         return {}

@@ -375,3 +375,34 @@ select (select count(*) from dirty_orders) as original_rows,
        (select count(*) from d2 where date_text is not null) as cleaned_rows,
        cast(7 as bigint) as columns, cast(4 as bigint) as numeric_columns, cast(3 as bigint) as categorical_columns,
        'o_totalprice' as target""")
+
+# --- cleaning plan recommendation (rules restated in SQL) --------------------------------
+_DT = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d-%m-%Y"]
+_TEXT = [c for c, dt, role in DIRTY_COLS if dt == "string"]
+_PARSE = " union all ".join(
+    f"select '{c}' as pcol, count({c}) as n, count_if(regexp_matches({c}, '{NUMERIC_PATTERN}')) as nf, "
+    f"count_if(regexp_matches({c}, '^\\s*[+-]?\\d+\\s*$')) as ni, "
+    f"count(coalesce({', '.join(f'try_strptime({c}, {chr(39)}{f}{chr(39)})' for f in _DT)})) as nd from dirty_orders"
+    for c in _TEXT)
+oracle("recommend_plan", f"""
+with p as ({_profile_sql("dirty_orders", DIRTY_COLS)}),
+t as ({_PARSE}),
+j as (select p.*, t.n, t.nf, t.ni, t.nd,
+        case when t.n > 0 and t.nf >= 0.9 * t.n then (case when t.ni = t.nf and t.nf = t.n then 'int' else 'float' end)
+             when t.n > 0 and t.nd >= 0.9 * t.n then 'datetime' else 'none' end as conv
+      from p left join t on t.pcol = p."column"),
+k as (select *, (missing_count > 0 or (conv = 'float' and nf < n) or (conv = 'datetime' and nd < n)) as has_missing,
+        case when conv in ('int', 'float') then 'numeric' else role end as role2 from j),
+plan as (select position, "column" as column_name,
+        case when has_missing and conv <> 'int' then
+             (case when role2 = 'numeric' then 'impute_median' else 'impute_mode' end) else 'none' end
+          as missing_value_action,
+        cast(null as varchar) as missing_value_constant,
+        case when outlier_count > 0 and role = 'numeric' then 'cap_iqr' else 'none' end as outlier_action,
+        conv as type_conversion
+      from k)
+select column_name, missing_value_action, missing_value_constant, outlier_action, type_conversion,
+       (select sum(n) - count(*) > 0 from (select count(*) as n from dirty_orders
+          group by o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, price_text, date_text))
+         as drop_duplicates
+from plan where missing_value_action <> 'none' or outlier_action <> 'none' or type_conversion <> 'none'""")

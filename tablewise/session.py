@@ -75,3 +75,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def spread_for_cpu(df: DataFrame, *keys, factor: int = 2) -> DataFrame:
+    """Hash-repartition rows before CPU-heavy per-row work (fan-out or numpy).
+
+    AQE sizes shuffle partitions by bytes, so a few megabytes of distinct
+    values that each expand 200× (or run a TreeSHAP evaluation) would land in
+    one or two tasks. This keeps at least ``factor`` × default parallelism
+    partitions, and never fewer than the input already has. Hash partitioning
+    keeps retries deterministic.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism * factor, 1)
+    cols = [df[k] for k in keys] if keys else [df[c] for c in df.columns]
+    from pyspark.sql import functions as F
+    return df.repartition(n, F.xxhash64(*cols))

@@ -14,9 +14,33 @@ _INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 _BOOL_VALUES = ["True", "False", "true", "false", "TRUE", "FALSE"]
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Columnar table with NaN normalised to NULL."""
-    return nan_to_null(spark.read.format(fmt).load(path))
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def _size_estimate(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for a scan)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are only a hint
+        return 0
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", min_partitions: int | None = None) -> DataFrame:
+    """Columnar table with NaN normalised to NULL.
+
+    An input of at least SPREAD_MIN_BYTES with fewer partitions than the
+    session's default parallelism (e.g. a file written as one row group) is
+    hash-repartitioned on all its columns so later stages use every core; the
+    partitioning is deterministic, so a retried task sees the same rows.
+    Large inputs already have more splits than cores and are left alone;
+    small ones are not worth a shuffle.
+    """
+    df = spark.read.format(fmt).load(path)
+    target = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
+    if (target and target > 1 and _size_estimate(df) >= SPREAD_MIN_BYTES
+            and df.rdd.getNumPartitions() < target):
+        df = df.repartition(target, F.xxhash64(*[q(c) for c in df.columns]))
+    return nan_to_null(df)
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:

@@ -48,3 +48,17 @@ def test_refine_property(spark, xs):
     for p, g in zip([0.25, 0.5, 0.75], got):
         exp = _np_quantile(xs, p)
         assert (g is None and exp is None) or g == pytest.approx(exp, abs=1e-9)
+
+
+@pytest.mark.parametrize("method", ["small", "refine"])
+def test_quantiles_from_counts(spark, method):
+    from pyspark.sql import functions as F
+    from tablewise.functions.quantiles import quantiles_from_counts
+    rng = np.random.default_rng(7)
+    vals = list(np.round(rng.normal(0, 3, 3000), 1)) + [2.0] * 1500
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    freq = df.groupBy(F.lit("x").alias("column"), F.col("x").alias("num_value")).count()
+    probs = [0.25, 0.5, 0.75, 0.9]
+    got = quantiles_from_counts(freq, ["x"], probs, method=method, buckets=8, leaf=10)[("", "x")]
+    for p, g in zip(probs, got):
+        assert g == pytest.approx(_np_quantile(vals, p), abs=1e-12)
