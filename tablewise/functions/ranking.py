@@ -24,21 +24,40 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int,
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 20_000
+
+
 def running_sum(df: DataFrame, key: str, values: list[str], partition: list[str] | None = None,
-                ranges: int = 64, accuracy: int = 10_000) -> DataFrame:
+                ranges: int | None = None, accuracy: int | None = None) -> DataFrame:
     """Adds ``<v>_before`` = Σ v over rows with a smaller ``key`` (same partition).
 
     ``key`` must be unique within a partition (group by it first). Ranges only
-    split work; the result is exact whatever the range boundaries are.
+    split work; the result is exact whatever the range boundaries are. By
+    default there is one range per ≈1M rows (at least 64), so a range window
+    stays small however many distinct keys there are.
     """
     partition = list(partition or [])
+    if ranges is None:
+        n = df.count()
+        ranges = int(min(MAX_RANGES, max(64, -(-n // ROWS_PER_RANGE))))
+    accuracy = accuracy or max(10_000, 10 * ranges)
     probs = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(key, probs, accuracy).alias("c")).first()["c"] or []
     cuts = sorted(set(float(c) for c in cuts))
-    bucket = F.lit(0)
-    for c in cuts:  # ≤ ranges-1 comparisons, JVM-side
-        bucket = bucket + F.when(F.col(key) > F.lit(c), 1).otherwise(0)
-    ranged = df.withColumn("__r", bucket.cast("int"))
+    # Range index: any order-preserving cut works (exactness does not depend
+    # on it). Few cuts: count the cuts below the key (JVM array expression);
+    # many cuts: Spark ML's Bucketizer, a binary search per row.
+    if len(cuts) <= 256:
+        arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
+        bucket = F.size(F.filter(arr, lambda c: c < F.col(key).cast("double"))) if cuts else F.lit(0)
+        ranged = df.withColumn("__r", bucket.cast("int"))
+    else:
+        from pyspark.ml.feature import Bucketizer
+        tmp = df.withColumn("__k", F.col(key).cast("double"))
+        splits = [float("-inf")] + cuts + [float("inf")]
+        ranged = (Bucketizer(splits=splits, inputCol="__k", outputCol="__rb", handleInvalid="keep")
+                  .transform(tmp).withColumn("__r", F.col("__rb").cast("int")).drop("__k", "__rb"))
     totals = ranged.groupBy(*partition, "__r").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     # totals has ≤ (partitions × ranges) rows; prefix over ranges is a tiny window.
     wt = Window.partitionBy(*partition).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,3 +69,4 @@ def running_sum(df: DataFrame, key: str, values: list[str], partition: list[str]
     out = joined.select(*[c for c in df.columns],
                         *[(F.col(f"__o_{v}") + F.col(f"__i_{v}")).alias(f"{v}_before") for v in values])
     return out
+
