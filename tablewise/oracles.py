@@ -406,3 +406,14 @@ select column_name, missing_value_action, missing_value_constant, outlier_action
           group by o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, price_text, date_text))
          as drop_duplicates
 from plan where missing_value_action <> 'none' or outlier_action <> 'none' or type_conversion <> 'none'""")
+
+# --- remaining single operators -------------------------------------------------------
+oracle("preview_orders", """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as varchar) as o_orderdate,
+       o_orderpriority from orders order by o_orderkey limit 5""")
+oracle("constant_columns", " union all ".join(
+    f"select '{c}' as \"column\", min({c}) <> max({c}) as non_constant from lineitem" for c in _LI_NUM))
+oracle("eda_numeric_summary", " union all ".join(
+    f"""select '{c}' as "column", round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
+    round(cast(min({c}) as double), 6) as min, round(cast(max({c}) as double), 6) as max,
+    round(skewness({c}), 6) as skewness from lineitem""" for c in _LI_NUM))

@@ -468,3 +468,40 @@ def run_summary(spark, sf_dir):
     return a.tables["run_summary"].select("dataset.*", "problem_type", "selected_model", "attribution_method",
                                           F.size("cleaning_actions").alias("n_actions"),
                                           F.size("top_predictive_features").alias("n_features"))
+
+
+# --- remaining single operators -------------------------------------------------------
+from tablewise.sources import io as IO  # noqa: E402
+
+
+@query("preview_orders")
+def preview_orders(spark, sf_dir):
+    """S3: first 5 rows by key (a top-n, the limit is the feature)."""
+    return IO.preview(table(spark, sf_dir, "orders"), 5, ["o_orderkey"]).withColumn(
+        "o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query("constant_columns")
+def constant_columns(spark, sf_dir):
+    """T5: which numeric columns of lineitem vary."""
+    li = table(spark, sf_dir, "lineitem")
+    num, _ = S.column_roles(li)
+    keep = set(S.non_constant_numeric(li, num))
+    return spark.createDataFrame([(c, c in keep) for c in num], "column string, non_constant boolean")
+
+
+@query("eda_numeric_summary")
+def eda_numeric_summary(spark, sf_dir):
+    """The compact per-column summary (first 15 numeric columns)."""
+    li = table(spark, sf_dir, "lineitem")
+    summary = E.eda_summary(li, None)["numeric_columns_summary"]
+    rows = [(c, v["mean"], v["std"], v["min"], v["max"], v["skewness"]) for c, v in summary.items()]
+    return rounded(spark.createDataFrame(
+        rows, "column string, mean double, std double, min double, max double, skewness double"), 6)
+
+
+@query("score_champion")
+def score_champion(spark, sf_dir):
+    """Score the held-out rows with the regression champion."""
+    run = _run(spark, sf_dir, "o_totalprice")
+    return run.champion_model().transform(run.test).select("o_orderkey", "label", "prediction")
