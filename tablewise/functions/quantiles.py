@@ -69,11 +69,13 @@ def _interp(lo_v, hi_v, frac):
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
               method: str = "auto", small_n: int = 2_000_000, buckets: int = 1024,
-              leaf: int = 20_000, max_groups: int = 10_000) -> dict:
+              leaf: int = 20_000, max_groups: int = 10_000, stats: dict | None = None) -> dict:
     """Exact quantiles. Returns {(group, column): [value per prob]} (bounded).
 
     ``group`` is the string form of ``by`` (or "" when ungrouped). Columns or
-    groups with no non-null values map to a list of ``None``.
+    groups with no non-null values map to a list of ``None``. ``stats`` —
+    {column: (non-null count, min, max)} already known to the caller (ungrouped
+    only) — saves the statistics job.
     """
     cols = list(cols)
     if not cols:
@@ -82,7 +84,14 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     for i, c in enumerate(cols):
         v = q(c).cast("double")
         stats_aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    if by:
+    if stats is not None and not by:
+        row = {_GROUP: ""}
+        for i, c in enumerate(cols):
+            n_, lo_, hi_ = stats[c]
+            row.update({f"n{i}": n_, f"lo{i}": None if lo_ is None else float(lo_),
+                        f"hi{i}": None if hi_ is None else float(hi_)})
+        stats = [row]
+    elif by:
         stats = (df.where(q(by).isNotNull()).groupBy(q(by).cast("string").alias(_GROUP))
                  .agg(*stats_aggs).limit(max_groups + 1).collect())
         if len(stats) > max_groups:

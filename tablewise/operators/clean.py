@@ -84,10 +84,10 @@ def means(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     return {c: r[f"a{i}"] for i, c in enumerate(cols)}
 
 
-def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+def medians(df: DataFrame, cols: list[str], stats: dict | None = None) -> dict[str, float | None]:
     if not cols:
         return {}
-    qs = quantiles(df, cols, [0.5])
+    qs = quantiles(df, cols, [0.5], stats=stats)
     return {c: qs[("", c)][0] for c in cols}
 
 

@@ -51,7 +51,8 @@ def describe_rows(df: DataFrame, cols: list[str] | None = None) -> list[dict]:
     if cols is None:
         cols, _ = column_roles(df)
     m = moments(df, cols)
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75]) if cols else {}
+    known = {c: (m[c]["count"], m[c]["min"], m[c]["max"]) for c in cols}
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75], stats=known) if cols else {}
     out = []
     for i, c in enumerate(cols):
         q25, q50, q75 = qs.get(("", c), [None] * 3)
