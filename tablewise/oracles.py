@@ -417,3 +417,30 @@ oracle("eda_numeric_summary", " union all ".join(
     f"""select '{c}' as "column", round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
     round(cast(min({c}) as double), 6) as min, round(cast(max({c}) as double), 6) as max,
     round(skewness({c}), 6) as skewness from lineitem""" for c in _LI_NUM))
+
+# --- engineered features (E14), long form ------------------------------------------------
+_KIND = f"""(select col, case when g > 1 and mn >= 0 then 'log1p' when nu > 50 then 'quantile_bin'
+                      when nu > 2 then 'zscore' end as kind
+            from ({_F_STATS}) where role = 'numeric' and col <> 'returned')"""
+_NT = [c for k, c in _F_NT]
+_VALS = " union all ".join(
+    f"select o_orderkey, '{c}' as col, cast({c} as double) as x, "
+    f"(select list_distinct(quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) from order_features) as cuts, "
+    f"(select avg({c}) from order_features) as mu, (select stddev_pop({c}) from order_features) as sd "
+    f"from order_features" for c in _NT)
+oracle("apply_features", f"""
+select v.o_orderkey,
+       v.col || case k.kind when 'log1p' then '_log1p' when 'quantile_bin' then '_bin' else '_z' end as feature,
+       round(case k.kind when 'log1p' then ln(1 + v.x)
+                         when 'quantile_bin' then cast(len(list_filter(v.cuts, lambda c: c < v.x)) as double)
+                         else case when v.sd is null or v.sd = 0 then 0.0 else (v.x - v.mu) / v.sd end end, 6) as value
+from ({_VALS}) v join {_KIND} k on k.col = v.col where k.kind is not null
+union all
+select o.o_orderkey, r.a || '_per_' || r.b as feature,
+       round(case """ + " ".join(
+    f"when r.a = '{_F_NT[i][1]}' and r.b = '{_F_NT[j][1]}' then "
+    f"case when cast(o.{_F_NT[j][1]} as double) = 0 then null else cast(o.{_F_NT[i][1]} as double) / cast(o.{_F_NT[j][1]} as double) end"
+    for i, j in _npairs) + f""" end, 6) as value
+from order_features o, (""" + " union all ".join(
+    f"select '{_F_NT[i][1]}' as a, '{_F_NT[j][1]}' as b, corr(cast({_F_NT[j][1]} as double), cast({_F_NT[i][1]} as double)) as r from order_features"
+    for i, j in _npairs) + ") r where abs(r.r) >= 0.7")

@@ -218,8 +218,13 @@ def suggest_features(spark, sf_dir):
 
 @query("apply_features")
 def apply_features(spark, sf_dir):
+    """E14, long form: one row per order and engineered feature."""
     of = order_features(spark, sf_dir)
-    return rounded(E.apply_features(of, E.suggest_features(of, "returned")), 6)
+    sug = E.suggest_features(of, "returned")
+    names = [r["feature"] for r in sug.collect()]
+    wide = E.apply_features(of, sug)
+    arr = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    return rounded(wide.select("o_orderkey", F.inline(arr)), 6)
 
 
 # --- chart data ----------------------------------------------------------------------
