@@ -39,6 +39,10 @@ class ModelSettings:
     boost_step: float = 0.3
     logistic_iter: int = 1000
     seed: int = 42
+    # Iterative tree learners cut their lineage every n iterations with a
+    # reliable checkpoint in the session's checkpoint folder (executor loss
+    # then costs n iterations, not the whole fit).
+    checkpoint_every: int = 10
 
 
 def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
@@ -49,9 +53,10 @@ def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
                                   standardization=False, family="auto")
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=s.trees, featureSubsetStrategy="sqrt", maxDepth=s.forest_depth,
-                                      seed=s.seed)
+                                      seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
     if name == "XGBoost":
-        gbt = GBTClassifier(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed)
+        gbt = GBTClassifier(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
+                            cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
     raise ValueError(name)
 
@@ -62,9 +67,10 @@ def regressor(name: str, s: ModelSettings):
         return LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="auto")
     if name == "Random Forest Regressor":
         return RandomForestRegressor(numTrees=s.trees, featureSubsetStrategy="all", maxDepth=s.forest_depth,
-                                     seed=s.seed)
+                                     seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
     if name == "XGBoost Regressor":
-        return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed)
+        return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
+                            cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
     raise ValueError(name)
 
 

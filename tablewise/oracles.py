@@ -444,3 +444,4 @@ select o.o_orderkey, r.a || '_per_' || r.b as feature,
 from order_features o, (""" + " union all ".join(
     f"select '{_F_NT[i][1]}' as a, '{_F_NT[j][1]}' as b, corr(cast({_F_NT[j][1]} as double), cast({_F_NT[i][1]} as double)) as r from order_features"
     for i, j in _npairs) + ") r where abs(r.r) >= 0.7")
+oracle("skew_events", """select 'value' as "column", round(skewness(value), 6) as skewness from events""")

@@ -510,3 +510,9 @@ def score_champion(spark, sf_dir):
     """Score the held-out rows with the regression champion."""
     run = _run(spark, sf_dir, "o_totalprice")
     return run.champion_model().transform(run.test).select("o_orderkey", "label", "prediction")
+
+
+@query("skew_events")
+def skew_events(spark, sf_dir):
+    """E2 on a long right tail (events.value)."""
+    return rounded(E.skewness(table(spark, sf_dir, "events"), ["value"]), 6)
