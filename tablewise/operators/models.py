@@ -56,7 +56,7 @@ def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
                                       seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
     if name == "XGBoost":
         gbt = GBTClassifier(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
-                            cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
+                            checkpointInterval=s.checkpoint_every)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
     raise ValueError(name)
 
@@ -70,7 +70,7 @@ def regressor(name: str, s: ModelSettings):
                                      seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
     if name == "XGBoost Regressor":
         return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
-                            cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
+                            checkpointInterval=s.checkpoint_every)
     raise ValueError(name)
 
 
