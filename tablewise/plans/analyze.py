@@ -119,7 +119,10 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
             test = materialize(test.withColumn("__row", F.monotonically_increasing_id()))
             id_col = "__row"
         try:
-            if any(t in (run.champion or "") for t in TREE_MODELS) and not hasattr(champ, "models"):
+            if any(t in (run.champion or "") for t in TREE_MODELS) and hasattr(champ, "models"):
+                shap = X.tree_shap_ovr(champ, test, id_col)  # one-vs-rest boosted trees
+                method = "tree_shap"
+            elif any(t in (run.champion or "") for t in TREE_MODELS):
                 shap = X.tree_shap(champ, test, id_col)
                 method = "tree_shap"
             else:
@@ -129,7 +132,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
             importance = X.shap_importance(chosen, names).drop("class")
             out.tables.update(shap=shap, shap_importance=importance,
                               local_explanation=X.local_explanation(chosen, id_col, names))
-        except (TypeError, NotImplementedError) as e:
+        except (TypeError, NotImplementedError, AttributeError) as e:
             log("explain", f"SHAP not available ({e}); native importances used.")
             importance = X.native_importance(champ, names)
             method = "native_importance"

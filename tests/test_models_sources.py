@@ -70,3 +70,12 @@ def test_analyze_clustering(spark):
     a = analyze(synth_housing(spark, 120).drop("House_Price"), None, settings=FAST)
     assert a.problem_type == "clustering"
     assert a.tables["clusters"].count() == 120
+
+
+def test_analyze_multiclass(spark):
+    a = analyze(synth_churn(spark, 300), "Contract_Type", key="CustomerID", settings=FAST)
+    assert a.problem_type == "classification"
+    assert a.tables["leaderboard"].count() == 3
+    rs = a.tables["run_summary"].first()
+    assert rs["attribution_method"] in ("tree_shap", "linear_shap", "native_importance")
+    assert len(rs["top_predictive_features"]) == 5
