@@ -165,7 +165,7 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
     problem = detect_problem_type(df, target)
     if problem == "clustering":
         raise ValueError("train_supervised needs a target column")
-    data = PR.drop_null_target(df, target)
+    data = PR.drop_null_target(df, target).persist(StorageLevel.MEMORY_AND_DISK)  # read by every step below
     labels = None
     if problem == "classification":
         labels = PR.class_labels(data, target)
@@ -179,6 +179,8 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
     train_v = pre.transform(train).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     test_v = pre.transform(test).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train_v.count()
+    test_v.count()
+    data.unpersist()  # train/test vectors are persisted now
     run = SupervisedRun(problem, target, labels, pre, train_v, test_v)
     names = candidates or (CLASSIFIERS if problem == "classification" else REGRESSORS)
     from concurrent.futures import ThreadPoolExecutor
