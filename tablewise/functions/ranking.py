@@ -38,12 +38,21 @@ def running_sum(df: DataFrame, key: str, values: list[str], partition: list[str]
     stays small however many distinct keys there are.
     """
     partition = list(partition or [])
+
+    def _cuts(r: int):
+        acc = accuracy or max(10_000, 10 * r)
+        row = df.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx(key, [i / r for i in range(1, r)], acc).alias("c")).first()
+        return row["n"], row["c"] or []
+
     if ranges is None:
-        n = df.count()
-        ranges = int(min(MAX_RANGES, max(64, -(-n // ROWS_PER_RANGE))))
-    accuracy = accuracy or max(10_000, 10 * ranges)
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, probs, accuracy).alias("c")).first()["c"] or []
+        # One job for the row count and 64 cuts; a second only past 64 M keys.
+        n, cuts = _cuts(64)
+        need = int(min(MAX_RANGES, max(64, -(-n // ROWS_PER_RANGE))))
+        if need > 64:
+            n, cuts = _cuts(need)
+    else:
+        n, cuts = _cuts(ranges)
     cuts = sorted(set(float(c) for c in cuts))
     # Range index: any order-preserving cut works (exactness does not depend
     # on it). Few cuts: count the cuts below the key (JVM array expression);

@@ -25,6 +25,13 @@ def _size_estimate(df: DataFrame) -> int:
         return 0
 
 
+def _partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - unknown: do not spread
+        return 1 << 30
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", min_partitions: int | None = None) -> DataFrame:
     """Columnar table with NaN normalised to NULL.
 
@@ -37,8 +44,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", min_partiti
     """
     df = spark.read.format(fmt).load(path)
     target = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
-    if (target and target > 1 and _size_estimate(df) >= SPREAD_MIN_BYTES
-            and df.rdd.getNumPartitions() < target):
+    if target and target > 1 and _size_estimate(df) >= SPREAD_MIN_BYTES and _partitions(df) < target:
         df = df.repartition(target, F.xxhash64(*[q(c) for c in df.columns]))
     return nan_to_null(df)
 
