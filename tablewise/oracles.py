@@ -325,7 +325,7 @@ oracle("standard_scale", "with m as (select " + ", ".join(
 oracle("one_hot", """
 with cats as (select distinct c_mktsegment as v from order_features where c_mktsegment is not null)
 select o.o_orderkey, 'c_mktsegment_' || cats.v as feature,
-       case when o.c_mktsegment = cats.v then 1.0 else 0.0 end as value
+       cast(case when o.c_mktsegment = cats.v then 1.0 else 0.0 end as double) as value
 from order_features o, cats""")
 oracle("hash_split", """
 select o_orderkey, case when ('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 8))::bigint % 100 < 80
