@@ -445,3 +445,15 @@ from order_features o, (""" + " union all ".join(
     f"select '{_F_NT[i][1]}' as a, '{_F_NT[j][1]}' as b, corr(cast({_F_NT[j][1]} as double), cast({_F_NT[i][1]} as double)) as r from order_features"
     for i, j in _npairs) + ") r where abs(r.r) >= 0.7")
 oracle("skew_events", """select 'value' as "column", round(skewness(value), 6) as skewness from events""")
+
+from tablewise.functions.exprs import NA_TOKENS  # noqa: E402
+
+_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
+oracle("csv_roundtrip", f"""
+select o_orderkey, o_custkey,
+       case when o_orderstatus in ({_NA}) then null else o_orderstatus end as o_orderstatus,
+       o_totalprice,
+       case when o_orderpriority in ({_NA}) then null else o_orderpriority end as o_orderpriority,
+       case when price_text in ({_NA}) then null else price_text end as price_text,
+       case when date_text in ({_NA}) then null else date_text end as date_text
+from dirty_orders""")

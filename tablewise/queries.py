@@ -516,3 +516,14 @@ def score_champion(spark, sf_dir):
 def skew_events(spark, sf_dir):
     """E2 on a long right tail (events.value)."""
     return rounded(E.skewness(table(spark, sf_dir, "events"), ["value"]), 6)
+
+
+@query("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """S4 + S1: write the dirty fixture as CSV, read it back with NA tokens and
+    type inference (the file lives under the session's shared scratch folder)."""
+    import uuid
+    from tablewise.session import scratch_path
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    IO.write_cleaned(dirty_orders(spark, sf_dir), path, fmt="csv")
+    return IO.read_csv(spark, path)
