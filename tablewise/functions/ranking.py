@@ -74,7 +74,10 @@ def running_sum(df: DataFrame, key: str, values: list[str], partition: list[str]
                                                    for v in values])
     w = Window.partitionBy(*partition, "__r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"__i_{v}") for v in values])
-    joined = inner.join(F.broadcast(offsets), partition + ["__r"])
+    # Without a partition key the offsets table has ≤ MAX_RANGES rows: broadcast.
+    # With one it has (partition values × ranges) rows, not bounded up front, so
+    # AQE decides from its measured size (and broadcasts it when small).
+    joined = inner.join(offsets if partition else F.broadcast(offsets), partition + ["__r"])
     out = joined.select(*[c for c in df.columns],
                         *[(F.col(f"__o_{v}") + F.col(f"__i_{v}")).alias(f"{v}_before") for v in values])
     return out
