@@ -59,6 +59,8 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     plan = plan or CP.recommend_plan(df, prof, dup["duplicate_rows"])
     res = CP.apply_plan(df, plan)
     cleaned = materialize(res.data) if cut_lineage else res.data
+    if cut_lineage:
+        res.release()  # the checkpoint now holds the cleaned rows
     res.data = cleaned
     n_clean = cleaned.count()
     res.final_rows = n_clean
