@@ -21,7 +21,7 @@ Two physical strategies:
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +46,6 @@ class _Target:
     below: int = 0
     value: float | None = None
     fetch: bool = False
-    users: list = field(default_factory=list)
 
 
 def _long_form(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:

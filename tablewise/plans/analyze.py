@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler  # noqa: F401 - re-exported for callers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
