@@ -52,11 +52,21 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
 
     # clean
     prof = P.profile_columns(df)
-    dup = P.profile_summary(df).first()
+    # One full-row shuffle serves both the duplicate count and the dedupe step.
+    from pyspark import StorageLevel
+    from tablewise.operators.clean import drop_duplicates
+    n_rows = df.count()
+    deduped = drop_duplicates(df).persist(StorageLevel.MEMORY_AND_DISK)
+    n_distinct = deduped.count()
+    dup = dict(total_rows=n_rows, total_cols=len(df.columns), duplicate_rows=n_rows - n_distinct)
     log("clean", f"Dataset profiled: {dup['total_rows']} rows, {dup['total_cols']} columns. "
                  f"Found {dup['duplicate_rows']} duplicate rows.")
     plan = plan or CP.recommend_plan(df, prof, dup["duplicate_rows"])
-    res = CP.apply_plan(df, plan)
+    res = CP.apply_plan(df, plan, deduped=(deduped, n_distinct), n_rows=n_rows)
+    if not plan.drop_duplicates:
+        deduped.unpersist()
+    else:
+        res.cached.append(deduped)
     cleaned = materialize(res.data) if cut_lineage else res.data
     if cut_lineage:
         res.release()  # the checkpoint now holds the cleaned rows
