@@ -62,9 +62,9 @@ def describe_rows(df: DataFrame, cols: list[str] | None = None) -> list[dict]:
     return out
 
 
-def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """E1 + E2: one row per numeric column (bounded)."""
-    rows = describe_rows(df, cols)
+def describe(df: DataFrame, cols: list[str] | None = None, rows: list[dict] | None = None) -> DataFrame:
+    """E1 + E2: one row per numeric column (bounded; from ``rows`` if given)."""
+    rows = rows if rows is not None else describe_rows(df, cols)
     return df.sparkSession.createDataFrame(
         [tuple(r[f.name] for f in DESCRIBE_SCHEMA.fields) for r in rows], DESCRIBE_SCHEMA)
 

@@ -267,9 +267,9 @@ def _approx_bounds(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> di
     return out
 
 
-def profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per column (bounded), as a DataFrame."""
-    rows = profile_columns(df, approx)
+def profile(df: DataFrame, approx: bool = False, rows: list[dict] | None = None) -> DataFrame:
+    """One row per column (bounded), as a DataFrame (from ``rows`` if given)."""
+    rows = rows if rows is not None else profile_columns(df, approx)
     return df.sparkSession.createDataFrame([tuple(r[f.name] for f in PROFILE_SCHEMA.fields) for r in rows],
                                            PROFILE_SCHEMA)
 

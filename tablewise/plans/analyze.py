@@ -73,7 +73,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     res.data = cleaned
     n_clean = cleaned.count()
     res.final_rows = n_clean
-    out.tables.update(profile=P.profile(df), plan=CP.plan_frame(spark, plan), cleaning_log=res.log_frame(spark),
+    out.tables.update(profile=P.profile(df, rows=prof), plan=CP.plan_frame(spark, plan), cleaning_log=res.log_frame(spark),
                       cleaning_report=res.report_frame(spark), cleaned=cleaned)
     log("clean", f"Data Cleaning complete. Final shape: ({n_clean}, {len(cleaned.columns)}).")
 
@@ -81,7 +81,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     num, cat = column_roles(cleaned)
     pairs = E.correlation_pairs(cleaned, num)
     desc = E.describe_rows(cleaned, num)
-    out.tables.update(describe=E.describe(cleaned, num), top_values=E.top_values(cleaned, 5, cat),
+    out.tables.update(describe=E.describe(cleaned, num, rows=desc), top_values=E.top_values(cleaned, 5, cat),
                       correlations=E.correlation_matrix(cleaned, num, pairs),
                       top_correlations=E.top_correlations(cleaned, pairs=pairs, cols=num),
                       distribution=E.distribution_labels(cleaned, desc),
