@@ -79,3 +79,11 @@ def test_analyze_without_model(spark):
     a = analyze(dirty_orders(spark, SF001), "o_orderstatus", model=False)
     assert {"profile", "cleaned", "describe", "chart_manifest", "run_summary"} <= set(a.tables)
     assert a.tables["dataset_summary"].first()["original_rows"] == dirty_orders(spark, SF001).count()
+
+
+def test_analysis_write(spark):
+    a = analyze(dirty_orders(spark, SF001), None, model=False)
+    out = scratch_path(spark, "analysis-out")
+    paths = a.write(out, "r1")
+    assert "profile" in paths and "cleaned" not in paths
+    assert spark.read.parquet(paths["profile"]).where("run_id = 'r1'").count() == 7
