@@ -107,7 +107,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     out.tables["chart_manifest"] = manifest
     for ch in manifest.collect():  # ≤ 5 rows
         if ch["type"] == "heatmap":
-            out.tables["chart_heatmap"] = V.heatmap_data(cleaned)
+            out.tables["chart_heatmap"] = V.heatmap_data(cleaned, pairs)
         elif ch["type"] == "histogram":
             out.tables["chart_histogram"] = V.histogram(cleaned, ch["x"])
             out.tables["chart_density"] = V.density_curve(cleaned, ch["x"])

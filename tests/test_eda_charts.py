@@ -70,3 +70,14 @@ def test_class_balance(spark):
     df = spark.createDataFrame([(1,)] * 3 + [(0,)] + [(None,)], "y int")
     r = {x["class"]: x for x in E.class_balance(df, "y").collect()}
     assert r["1"]["share"] == 0.75 and r["1"]["imbalance_ratio"] == 3.0
+
+
+def test_heatmap_reuses_pairs(spark):
+    df = spark.createDataFrame([(float(i), 5.0, float(i * i), float(-i)) for i in range(20)],
+                               "a double, k double, b double, c double")
+    pairs = E.correlation_pairs(df, ["a", "k", "b", "c"])
+    got = sorted(tuple(r) for r in V.heatmap_data(df, pairs).collect())
+    exp = sorted(tuple(r) for r in V.heatmap_data(df).collect())
+    assert [g[:4] for g in got] == [e[:4] for e in exp]
+    assert all((g[4] is None and e[4] is None) or g[4] == pytest.approx(e[4]) for g, e in zip(got, exp))
+    assert {r["feature_1"] for r in got} == {"a", "b", "c"}
