@@ -80,4 +80,4 @@ def test_heatmap_reuses_pairs(spark):
     exp = sorted(tuple(r) for r in V.heatmap_data(df).collect())
     assert [g[:4] for g in got] == [e[:4] for e in exp]
     assert all((g[4] is None and e[4] is None) or g[4] == pytest.approx(e[4]) for g, e in zip(got, exp))
-    assert {r["feature_1"] for r in got} == {"a", "b", "c"}
+    assert {r[2] for r in got} == {"a", "b", "c"}  # feature_1; the constant k is left out
