@@ -81,3 +81,15 @@ def test_heatmap_reuses_pairs(spark):
     assert [g[:4] for g in got] == [e[:4] for e in exp]
     assert all((g[4] is None and e[4] is None) or g[4] == pytest.approx(e[4]) for g, e in zip(got, exp))
     assert {r[2] for r in got} == {"a", "b", "c"}  # feature_1; the constant k is left out
+
+
+def test_wide_correlation_matrix_path(spark, monkeypatch):
+    df = spark.range(200).select(*[(F.sin(F.col("id") * (k + 1)) + F.col("id") * k / 100).alias(f"c{k}")
+                                   for k in range(6)], F.lit(3.0).alias("k"))
+    cols = [f"c{k}" for k in range(6)] + ["k"]
+    base = E.correlation_pairs(df, cols)
+    monkeypatch.setattr(E, "MATRIX_PAIRS", 1)
+    wide = E.correlation_pairs(df, cols)
+    for a, b in zip(base, wide):
+        assert a[:4] == b[:4]
+        assert (a[4] is None and b[4] is None) or a[4] == pytest.approx(b[4], abs=1e-9)
