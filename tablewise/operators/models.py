@@ -24,6 +24,7 @@ from tablewise.functions.exprs import q
 from tablewise.operators import metrics as MT
 from tablewise.operators import prep as PR
 from tablewise.operators.schema import detect_problem_type
+from tablewise.session import fit_parallelism
 
 # Candidate names in fitting order (ties go to the earlier one).
 CLASSIFIERS = ["Logistic Regression", "Random Forest", "XGBoost"]
@@ -200,7 +201,8 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
             return pos, name, None, None, f"{type(e).__name__}: {e}"
 
     # Candidates are independent: their fits run as concurrent Spark jobs.
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+    workers = fit_parallelism(df.sparkSession, parallel)
+    with ThreadPoolExecutor(max_workers=workers) as pool:
         done = list(pool.map(fit, list(enumerate(names))))
     for pos, name, model, m, err in sorted(done, key=lambda t: t[0]):
         if err:
@@ -251,7 +253,7 @@ def kmeans_search(features: DataFrame, ks=(2, 3, 4, 5), restarts: int = 10, seed
         m = KMeans(k=k, seed=seed + r, featuresCol=features_col, maxIter=max_iter).fit(data)
         return pos, k, r, m, m.summary.trainingCost
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+    with ThreadPoolExecutor(max_workers=fit_parallelism(features.sparkSession, parallel, 2.0)) as pool:
         fits = list(pool.map(fit, todo))
     for pos, k in enumerate(ks):
         cands = [(r, m, cost) for p, kk, r, m, cost in fits if kk == k]

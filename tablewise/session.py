@@ -91,3 +91,21 @@ def spread_for_cpu(df: DataFrame, *keys, factor: int = 2) -> DataFrame:
     cols = [df[k] for k in keys] if keys else [df[c] for c in df.columns]
     from pyspark.sql import functions as F
     return df.repartition(n, F.xxhash64(*cols))
+
+
+def fit_parallelism(spark: SparkSession, wanted: int, min_heap_gib: float = 4.0) -> int:
+    """How many model fits to run concurrently.
+
+    On a cluster the fits' working memory (tree histograms, k-means sums) lives
+    on the executors, so ``wanted`` is used. In local mode everything shares
+    one JVM heap; below ``min_heap_gib`` the fits run one at a time.
+    """
+    try:
+        master = spark.sparkContext.master or ""
+        if master.startswith("local"):
+            heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+            if heap < min_heap_gib * (1 << 30):
+                return 1
+    except Exception:  # noqa: BLE001 - unknown: be conservative
+        return 1
+    return max(1, wanted)
