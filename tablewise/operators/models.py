@@ -24,7 +24,7 @@ from tablewise.functions.exprs import q
 from tablewise.operators import metrics as MT
 from tablewise.operators import prep as PR
 from tablewise.operators.schema import detect_problem_type
-from tablewise.session import fit_parallelism
+from tablewise.session import fit_parallelism, tree_memory_mb
 
 # Candidate names in fitting order (ties go to the earlier one).
 CLASSIFIERS = ["Logistic Regression", "Random Forest", "XGBoost"]
@@ -44,6 +44,8 @@ class ModelSettings:
     # reliable checkpoint in the session's checkpoint folder (executor loss
     # then costs n iterations, not the whole fit).
     checkpoint_every: int = 10
+    # Split-statistics budget per task for tree learners (None: sized from the session).
+    tree_memory_mb: int | None = None
 
 
 def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
@@ -54,10 +56,11 @@ def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
                                   standardization=False, family="auto")
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=s.trees, featureSubsetStrategy="sqrt", maxDepth=s.forest_depth,
-                                      seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
+                                      seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every,
+                                      maxMemoryInMB=s.tree_memory_mb or 256)
     if name == "XGBoost":
         gbt = GBTClassifier(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
-                            checkpointInterval=s.checkpoint_every)
+                            checkpointInterval=s.checkpoint_every, maxMemoryInMB=s.tree_memory_mb or 256)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
     raise ValueError(name)
 
@@ -68,10 +71,11 @@ def regressor(name: str, s: ModelSettings):
         return LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="auto")
     if name == "Random Forest Regressor":
         return RandomForestRegressor(numTrees=s.trees, featureSubsetStrategy="all", maxDepth=s.forest_depth,
-                                     seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every)
+                                     seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every,
+                                     maxMemoryInMB=s.tree_memory_mb or 256)
     if name == "XGBoost Regressor":
         return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
-                            checkpointInterval=s.checkpoint_every)
+                            checkpointInterval=s.checkpoint_every, maxMemoryInMB=s.tree_memory_mb or 256)
     raise ValueError(name)
 
 
@@ -163,6 +167,9 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
                      candidates: list[str] | None = None, parallel: int = 3) -> SupervisedRun:
     """M1–M9 + M10–M15 + M19–M25 for one target."""
     s = settings or ModelSettings()
+    if s.tree_memory_mb is None:
+        from dataclasses import replace
+        s = replace(s, tree_memory_mb=tree_memory_mb(df.sparkSession))
     problem = detect_problem_type(df, target)
     if problem == "clustering":
         raise ValueError("train_supervised needs a target column")

@@ -109,3 +109,23 @@ def fit_parallelism(spark: SparkSession, wanted: int, min_heap_gib: float = 4.0)
     except Exception:  # noqa: BLE001 - unknown: be conservative
         return 1
     return max(1, wanted)
+
+
+def tree_memory_mb(spark: SparkSession, default: int = 256) -> int:
+    """``maxMemoryInMB`` for tree learners.
+
+    Every concurrent task allocates split statistics up to this size. On a
+    cluster each task has its executor's share of memory and the default is
+    kept; in local mode all tasks share one heap, so the budget is
+    heap / (4 × cores), between 16 and ``default`` MB. Smaller budgets mean more
+    node groups (passes) per tree level; the split search is the same, though
+    with per-node feature subsampling the random draws may differ.
+    """
+    try:
+        sc = spark.sparkContext
+        if (sc.master or "").startswith("local"):
+            heap_mb = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() // (1 << 20)
+            return int(max(16, min(default, heap_mb // (4 * max(sc.defaultParallelism, 1)))))
+    except Exception:  # noqa: BLE001
+        return 64
+    return default
