@@ -349,9 +349,10 @@ def roc_auc_ovr(spark, sf_dir):
     df, _ = PR.label_encode(of, "o_orderstatus")
     df = df.select("label", F.array(F.col("avg_disc"), F.col("n_lines") / 7.0,
                                     F.col("returned") * 0.5 + F.col("avg_disc")).alias("probability"))
-    per = MT.roc_auc_ovr(df)
-    return rounded(per.select(F.col("cls").cast("int").alias("cls"), "roc_auc")
-                   .unionByName(MT.roc_auc_macro(per).select(F.lit(None).cast("int").alias("cls"), "roc_auc")), 6)
+    per = [(int(r["cls"]), r["roc_auc"]) for r in MT.roc_auc_ovr(df).collect()]  # one row per class
+    vals = [v for _, v in per if v is not None]
+    rows = per + [(None, sum(vals) / len(vals) if vals else None)]  # macro mean, as roc_auc_macro
+    return rounded(spark.createDataFrame(rows, "cls int, roc_auc double"), 6)
 
 
 @query("regression_metrics")
