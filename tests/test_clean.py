@@ -75,3 +75,18 @@ def test_rare_binary_not_capped_by_recommendation(spark):
     from tablewise.operators.profile import profile_columns
     plan = CP.recommend_plan(df, profile_columns(df), 0)
     assert all(s.outlier_action == "none" for s in plan.columns)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.sampled_from("ab")),
+                          st.one_of(st.none(), st.sampled_from([0.5, 1.5]))), max_size=40))
+def test_dedupe_matches_pandas(spark, rows):
+    import pandas as pd
+    from tablewise.operators.profile import duplicate_rows
+    df = spark.createDataFrame(rows, "a long, b string, c double")
+    expected = len(pd.DataFrame(rows, columns=["a", "b", "c"]).drop_duplicates()) if rows else 0
+    assert C.drop_duplicates(df).count() == expected
+    assert duplicate_rows(df).first()["duplicate_rows"] == len(rows) - expected
