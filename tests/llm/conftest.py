@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import types as T
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, shard int"
 

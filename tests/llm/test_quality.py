@@ -2,7 +2,6 @@ import random
 import re
 from collections import Counter
 
-from pyspark.sql import types as T
 
 from tablewise.llm import quality
 
