@@ -15,8 +15,9 @@ empty subset in at most ``spare`` groups may leave those subsets out.
 Equal sets are one class. In a signature group all members are compared with
 the member that shares most signatures with others, then, as long as a group
 holds several components, with further members. So groups of near copies cost
-one comparison a member, and no link is lost. Groups are found by map-side sums
-and joins, never gathered.
+one comparison a member, and no link is lost. Before a later comparison, parity
+sketches rule out pairs that differ in more elements than links can. Groups are
+found by map-side sums and joins, never gathered.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, row_hash, save
@@ -36,6 +37,9 @@ from .components import components
 from .kernels import U, Words, chunks, grams, mix
 
 
+SKETCH = 1024  # bits
+
+
 @cache
 def bands(percent: int, upto: int) -> tuple[tuple[int, int, int], ...]:
     """(low, high, most differing elements) of the overlapping size bands up to a size."""
@@ -83,6 +87,12 @@ def signatures(s: np.ndarray, percent: int, parts: int = 2, miss: int = 1) -> np
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the elements that fall on each of SKETCH bits; two sets differ in at least as many elements as bits."""
+    bits = np.bincount((mix(s + U(0x2C1B3C6D)) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sign(words: int, percent: int, parts: int, miss: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,9 +104,10 @@ def _sign(words: int, percent: int, parts: int, miss: int):
                 signs = [signatures(s, percent, parts, miss).view(np.int64) for s in sets]
                 offsets = np.concatenate(([0], np.cumsum(list(map(len, signs))))).astype(np.int32)
                 part = b.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(ids, pa.int64(), mask=sizes == 0),
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(s) for s in sets])), SKETCH // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(ids, pa.int64(), mask=sizes == 0), sketches,
                                                   pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)))],
-                                                 ["doc_id", "h", "n", "set_id", "signs"])
+                                                 ["doc_id", "h", "n", "set_id", "sketch", "signs"])
 
     return run
 
@@ -120,6 +131,12 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got, pa.int64())], ["a", "b", "common"])
 
 
+def _can(na: str, nb: str, sketch_a: str, sketch_b: str, percent: int) -> Column:
+    """Do sizes and sketches leave room for a link: a necessary condition."""
+    differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, c: t + c)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) that reach the similarity."""
     x = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
@@ -138,34 +155,38 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
     pairs inside what is connected already need not all be there.
     """
     spark = rows.sparkSession
-    signed = save(rows.mapInArrow(_sign(words, percent, parts, miss), "doc_id long, h long, n long, set_id long, signs array<long>"), "join-signed")
-    classes = save(signed.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "h")).alias("bearer")), "join-classes")
+    signed = save(rows.mapInArrow(_sign(words, percent, parts, miss), "doc_id long, h long, n long, set_id long, sketch array<long>, signs array<long>"), "join-signed")
+    narrow = save(signed.select("doc_id", "h", "n", "set_id"), "join-rows")
+    classes = save(signed.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "h")).alias("bearer")), "join-classes")
     each = signed.select("set_id", F.explode("signs").alias("sign"))
     shared = save(each.groupBy("sign").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sign"), "join-shared")
     release(spark)
     members = save(each.join(shared, "sign").distinct(), "join-members")
-    release(spark, shared)
+    release(spark, shared, signed)
     # how much each member has in common with others; the first in a group is its centre
     sizes = members.groupBy("sign").agg(F.count("*").alias("size"))
-    score = members.join(sizes, "sign").groupBy("set_id").agg(F.sum("size").alias("score")).join(classes.select("set_id", "n"), "set_id")
-    order = F.struct(F.col("score").alias("s"), F.col("set_id").alias("i"))
-    members = save(members.join(score, "set_id").select("sign", "set_id", "n", order.alias("o")), "join-ordered")
+    score = members.join(sizes, "sign").groupBy("set_id").agg(F.sum("size").alias("score"))
+    score = save(score.join(classes.select("set_id", "n"), "set_id"), "join-score")
+    release(spark)
+    plain, members = members, save(members.join(score, "set_id").select("sign", "set_id", "n", "score"), "join-ordered")
+    release(spark, plain, score)
+    members = members.withColumn("o", F.struct(F.col("score").alias("s"), F.col("set_id").alias("i"))).drop("score")
     wanted = members.select("set_id").distinct().join(classes, "set_id").select("set_id", F.col("bearer.doc_id").alias("m_id"), F.col("bearer.h").alias("m_h"))
     texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.m_id) & (rows.h == wanted.m_h)).select("set_id", "text")
     sets = save(texts.mapInArrow(_sets(words), "set_id long, items array<long>").dropDuplicates(["set_id"]), "join-sets")
     release(spark)
     # round 0: every member against its group's centre
     centre = members.groupBy("sign").agg(F.max("o").alias("c"))
-    pairs = members.join(centre, "sign").where("o <> c").select(F.col("set_id").alias("a"), F.col("c.i").alias("b"), F.col("n").alias("na")).distinct()
-    pairs = pairs.join(classes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = save(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                                          F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), "join-pairs")
+    pairs = members.join(centre, "sign").where("o <> c").select(F.least("set_id", "c.i").alias("a"), F.greatest("set_id", "c.i").alias("b")).distinct()
+    one = classes.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a"))
+    two = classes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
+    pairs = pairs.join(one, "a").join(two, "b").where(_can("na", "nb", "sketch_a", "sketch_b", percent))
+    pairs = save(pairs.select("a", "b", "na", "nb"), "join-pairs")
     links = save(_verified(pairs, sets, percent), "join-links")
     tested = pairs.select("a", "b")
     release(spark)
     # further rounds: in groups of several components, the next members against all that follow
-    first, most = 1, 2
+    first, most = 1, 8
     ranked = None
     while True:
         part = components(links)
@@ -174,21 +195,23 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
         open_ = labelled.join(several, "sign")
         if ranked is None:
             by = Window.partitionBy("sign").orderBy(F.col("o").desc())
-            open_ = open_.withColumn("rank", F.row_number().over(by) - 1)
+            open_ = open_.withColumn("rank", F.row_number().over(by) - 1).join(classes.select("set_id", "sketch"), "set_id")
         open_ = save(open_, "join-open")
         if open_.isEmpty():
             break
-        lead = open_.where((F.col("rank") >= first) & (F.col("rank") < most)).select("sign", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"), F.col("rank").alias("rank_b"))
-        more = open_.join(lead, "sign").where((F.col("rank") > F.col("rank_b")) & (F.col("part") != F.col("part_b"))).select(F.col("set_id").alias("a"), "b", F.col("n").alias("na"), "nb").where(near)
+        lead = open_.where((F.col("rank") >= first) & (F.col("rank") < most)).select("sign", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("part_b"), F.col("rank").alias("rank_b"), F.col("sketch").alias("sketch_b"))
+        can = _can("n", "nb", "sketch", "sketch_b", percent)
+        more = open_.join(lead, "sign").where((F.col("rank") > F.col("rank_b")) & (F.col("part") != F.col("part_b")) & can).select(F.col("set_id").alias("a"), "b", F.col("n").alias("na"), "nb")
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
                            F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         more = save(more.join(tested, ["a", "b"], "left_anti"), "join-pairs")
         tested = tested.unionByName(more.select("a", "b"))
         links = save(links.unionByName(_verified(more, sets, percent)), "join-links")
         ranked = open_.drop("part")
-        first, most = most, most * 2
+        first, most = most, most * 8
         release(spark)
-    return signed, links
+    release(spark, pairs, sets)
+    return narrow, links
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
