@@ -15,10 +15,15 @@ their run by a join. Only class counts (one row a length) reach the driver.
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +33,40 @@ from .common import row_hash, save
 RUNS = "length int, rank_lo long, n long, each long, seq_lo long, offset int"
 
 
+#: Fixed value: the split pattern of byte-level BPE files of this kind.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def word_engine(path: str):
+    """An encoder of single words from the ranks of a byte-level BPE file, or None if the file differs.
+
+    Merging by least rank and by first merge rule are the same if the merged
+    tokens' ids follow the order of the rules, above all single bytes.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("type") != "BPE" or model.get("ignore_merges"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    rules = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [model["vocab"][a + b] for a, b in rules]
+    if len(ranks) != 256 + len(merged) or merged != sorted(merged) or max(ranks[bytes([b])] for b in range(256)) >= merged[0]:
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+@cache
+def piece_ids(path: str):
+    """One per Python worker, so that tasks share what it remembers."""
+    return PieceIds(path)
+
+
 class PieceIds:
     """Token ids (little-endian, 4 bytes each) of texts by a byte-level BPE file.
 
@@ -35,21 +74,21 @@ class PieceIds:
     text whose spaces all stand alone between other characters is the sequence
     of its words (each but the first with its space); those are remembered.
     Texts with other white space next to spaces, or with special strings, are
-    encoded whole.
+    encoded whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.word = word_engine(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.most = most
         self.known: tuple[dict, dict] = ({}, {})  # first words; others
 
-    def _pack(self, encodings) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, "<u4").tobytes() for e in encodings]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str], lead: str, known: dict) -> None:
         if len(known) > self.most:
@@ -58,7 +97,10 @@ class PieceIds:
         odd = {w for w in new if (not w and lead) or (w and (w[0].isspace() or w[-1].isspace())) or any(s in w for s in self.special)}
         plain = [w for w in new if w not in odd]
         known.update(dict.fromkeys(odd))
-        known.update(zip(plain, self._pack(self.model.encode_batch_fast([lead + w for w in plain], add_special_tokens=False))))
+        if self.word is None:
+            known.update(zip(plain, self._whole([lead + w for w in plain])))
+        else:
+            known.update((w, array("I", self.word(lead + w)).tobytes()) for w in plain)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
@@ -70,7 +112,7 @@ class PieceIds:
             ids = [first[words[0]], *map(rest.__getitem__, words[1:])]
             out.append(None if None in ids else b"".join(ids))
         whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._pack(self.model.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))):
+        for i, x in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = x
         return out
 
@@ -84,7 +126,7 @@ def cuts(length: int, most: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, most: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = PieceIds(path)
+        ids = piece_ids(path)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
