@@ -206,6 +206,7 @@ class Family:
             array, order = merged, order + 1
         self.shared.append(save(array.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "suffix-shared"))
         self.levels.append((order, array))
+        release(spark)
 
     def _merges(self, order: int) -> bool:
         """Will the next batch's cascade reach the level of this order."""
@@ -245,6 +246,7 @@ def find(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
     release(spark, *[level for _, level in family.levels], *family.shared)
     rows = arrays.select("doc_id", "h", "n_bytes", F.explode(F.arrays_zip("spans", "places")).alias("x")).select("doc_id", "h", "n_bytes", F.col("x.spans").alias("span"), F.col("x.places").alias("place"))
     hits = save(rows.join(spans, "span"), "suffix-hits")
+    release(spark, spans, arrays)
     # one bearer of each open span stands for all of them
     bearers = hits.where("open").groupBy("span").agg(F.min(F.struct("doc_id", "h", "n_bytes", "place")).alias("x")).select("x.*", F.lit(True).alias("open"))
     whole = hits.where("n > 1").select("doc_id", "h", "n_bytes", "place", F.lit(False).alias("open"))
@@ -253,19 +255,22 @@ def find(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
     reach = length - GRAM
     far = F.aggregate(F.array_sort("whole"), F.lit(0).cast("long"), lambda e, p: F.when(p - reach <= e, F.greatest(e, (p + length).cast("long"))).otherwise(e))
     marks = save(marks.withColumn("all", far >= F.col("n_bytes")), "suffix-marks")
+    release(spark, hits)
     gone = marks.where("all").select("doc_id", "h", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit("").alias("kept"))
     marks = marks.where(~F.col("all") | (F.size("open") > 0)).withColumnsRenamed({"doc_id": "m_id", "h": "m_h"})
     texts = docs.join(marks, docs.doc_id.eqNullSafe(marks.m_id) & (docs.h == marks.m_h)).select("doc_id", "h", "text", "whole", "open", "all")
     texts = save(texts, "suffix-texts")
-    release(spark, spans, hits, arrays)
+    release(spark)
     blocks = save(texts.where(F.size("open") > 0).mapInArrow(_blocks(length), "doc_id long, h long, lo long, hi long, middle long, whole long"), "suffix-blocks")
     kinds = save(blocks.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi", "middle")).alias("x")).select("whole", "n", "x.*"), "suffix-kinds")
+    release(spark)
     doubled = blocks.join(kinds.where("n > 1").select("whole"), "whole", "left_semi").select("doc_id", "h", "lo", (F.col("hi") + length).alias("end"))
     mixed = kinds.groupBy("middle").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least < 2").select("middle")
     ask = kinds.join(mixed, "middle", "left_semi").groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
     single = texts.select("doc_id", "h", "text").join(ask, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")))
     single = single.select("doc_id", "h", "text", "blocks").mapInArrow(_single_windows(length), "doc_id long, h long, lo long, window long")
     single = save(single, "suffix-windows")
+    release(spark)
     twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     single_hits = single.join(twice, "window", "left_semi").select("doc_id", "h", "lo", (F.col("lo") + length).alias("end"))
     fine = doubled.unionByName(single_hits).groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.collect_set(F.struct("lo", "end")).alias("fine"))
