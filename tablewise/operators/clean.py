@@ -48,7 +48,14 @@ def convert_expr(df: DataFrame, col: str, to: str) -> Column:
     dt = df.schema[col].dataType
     if to == "int":
         # Non-numeric → NULL → 0, truncating cast (via double so '12.7' → 12).
-        return F.coalesce(_as_double(df, col).try_cast("bigint"), F.lit(0).cast("bigint"))
+        # Whole numbers never pass through double, so long ids stay exact.
+        if isinstance(dt, T.IntegralType):
+            whole = q(col).cast("bigint")
+        elif isinstance(dt, T.StringType):
+            whole = F.coalesce(F.when(q(col).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(q(col)).try_cast("bigint")), _as_double(df, col).try_cast("bigint"))
+        else:
+            whole = _as_double(df, col).try_cast("bigint")
+        return F.coalesce(whole, F.lit(0).cast("bigint"))
     if to == "float":
         return _as_double(df, col)  # C3
     if to in ("str", "category"):
@@ -144,9 +151,17 @@ def fill_expr(df: DataFrame, col: str, value) -> Column:
             if isinstance(value, float) and isinstance(dt, T.IntegralType):
                 return F.coalesce(q(col).cast("double"), lit)  # mean of ints is a float
             return F.coalesce(q(col), lit.cast(dt))
-        num = F.lit(str(value)).try_cast("double")
-        # A text constant on a numeric column widens the column to text.
-        return F.coalesce(F.coalesce(q(col), num.cast(dt)).cast("string"), F.lit(str(value)))
+        # A constant that is a number keeps the column numeric; other text widens it.
+        try:
+            int(str(value))
+            return F.coalesce(q(col), F.lit(str(value)).try_cast(dt))
+        except ValueError:
+            pass
+        try:
+            number = float(str(value))
+            return F.coalesce(q(col).cast("double") if isinstance(dt, T.IntegralType) else q(col), F.lit(number))
+        except ValueError:
+            return F.coalesce(q(col).cast("string"), F.lit(str(value)))
     if isinstance(dt, T.BooleanType):
         return F.coalesce(q(col), F.lit(value).cast("boolean"))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):

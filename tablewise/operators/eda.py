@@ -99,11 +99,13 @@ def top_values(df: DataFrame, k: int = 5, cols: list[str] | None = None, dropna:
 
 
 def cardinality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Distinct non-null values per categorical column."""
+    """Distinct non-null values per categorical column; 0 for a column of nulls."""
     if cols is None:
         _, cols = column_roles(df)
     vc = value_counts(df, cols, dropna=True)
-    return vc.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("cardinality"))
+    found = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).cast("bigint").alias("cardinality"))
 
 
 # --- E5, E6 ----------------------------------------------------------------------

@@ -27,8 +27,8 @@ from tablewise.operators.schema import detect_problem_type
 from tablewise.session import fit_parallelism, tree_memory_mb
 
 # Candidate names in fitting order (ties go to the earlier one).
-CLASSIFIERS = ["Logistic Regression", "Random Forest", "XGBoost"]
-REGRESSORS = ["Linear Regression", "Random Forest Regressor", "XGBoost Regressor"]
+CLASSIFIERS = ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
+REGRESSORS = ["Linear Regression", "Random Forest Regressor", "Gradient Boosted Trees Regressor"]
 
 
 @dataclass
@@ -58,7 +58,7 @@ def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
         return RandomForestClassifier(numTrees=s.trees, featureSubsetStrategy="sqrt", maxDepth=s.forest_depth,
                                       seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every,
                                       maxMemoryInMB=s.tree_memory_mb or 256)
-    if name == "XGBoost":
+    if name == "Gradient Boosted Trees":
         gbt = GBTClassifier(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
                             checkpointInterval=s.checkpoint_every, maxMemoryInMB=s.tree_memory_mb or 256)
         return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
@@ -73,7 +73,7 @@ def regressor(name: str, s: ModelSettings):
         return RandomForestRegressor(numTrees=s.trees, featureSubsetStrategy="all", maxDepth=s.forest_depth,
                                      seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every,
                                      maxMemoryInMB=s.tree_memory_mb or 256)
-    if name == "XGBoost Regressor":
+    if name == "Gradient Boosted Trees Regressor":
         return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
                             checkpointInterval=s.checkpoint_every, maxMemoryInMB=s.tree_memory_mb or 256)
     raise ValueError(name)

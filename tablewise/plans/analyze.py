@@ -24,7 +24,7 @@ from tablewise.operators.schema import NO_TARGET, column_roles, detect_problem_t
 from tablewise.plans import cleaning as CP
 from tablewise.session import materialize
 
-TREE_MODELS = ("Random Forest", "XGBoost")
+TREE_MODELS = ("Random Forest", "Gradient Boosted Trees")
 
 
 @dataclass
@@ -69,8 +69,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     deduped = drop_duplicates(df).persist(StorageLevel.MEMORY_AND_DISK)
     n_distinct = deduped.count()
     dup = dict(total_rows=n_rows, total_cols=len(df.columns), duplicate_rows=n_rows - n_distinct)
-    log("clean", f"Dataset profiled: {dup['total_rows']} rows, {dup['total_cols']} columns. "
-                 f"Found {dup['duplicate_rows']} duplicate rows.")
+    log("profile", ", ".join(f"{k}={v}" for k, v in dup.items()))
     plan = plan or CP.recommend_plan(df, prof, dup["duplicate_rows"])
     res = CP.apply_plan(df, plan, deduped=(deduped, n_distinct), n_rows=n_rows)
     if not plan.drop_duplicates:
@@ -85,7 +84,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     res.final_rows = n_clean
     out.tables.update(profile=P.profile(df, rows=prof), plan=CP.plan_frame(spark, plan), cleaning_log=res.log_frame(spark),
                       cleaning_report=res.report_frame(spark), cleaned=cleaned)
-    log("clean", f"Data Cleaning complete. Final shape: ({n_clean}, {len(cleaned.columns)}).")
+    log("clean", f"rows={n_clean}, columns={len(cleaned.columns)}")
 
     # EDA
     num, cat = column_roles(cleaned)
@@ -168,7 +167,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
         out.champion = f"KMeans (k={crun.best_k})"
         best = next(m for m in crun.metrics if m["k"] == crun.best_k)
         out.metrics = dict(silhouette_score=best["silhouette_score"], n_clusters=float(crun.best_k))
-        log("model", f"KMeans clustered with k={crun.best_k}.")
+        log("model", f"clusters={crun.best_k}")
 
     ds = R.dataset_summary(spark, dup["total_rows"], cleaned, n_clean, target)
     out.tables["dataset_summary"] = ds

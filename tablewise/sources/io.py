@@ -14,39 +14,13 @@ _INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 _BOOL_VALUES = ["True", "False", "true", "false", "TRUE", "FALSE"]
 
 
-SPREAD_MIN_BYTES = 4 << 20
-
-
-def _size_estimate(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics are only a hint
-        return 0
-
-
-def _partitions(df: DataFrame) -> int:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - unknown: do not spread
-        return 1 << 30
-
-
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", min_partitions: int | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Columnar table with NaN normalised to NULL.
 
-    An input of at least SPREAD_MIN_BYTES with fewer partitions than the
-    session's default parallelism (e.g. a file written as one row group) is
-    hash-repartitioned on all its columns so later stages use every core; the
-    partitioning is deterministic, so a retried task sees the same rows.
-    Large inputs already have more splits than cores and are left alone;
-    small ones are not worth a shuffle.
+    The scan is left to Spark, so projections and filters reach it; split sizes
+    follow ``spark.sql.files.maxPartitionBytes``.
     """
-    df = spark.read.format(fmt).load(path)
-    target = min_partitions if min_partitions is not None else spark.sparkContext.defaultParallelism
-    if target and target > 1 and _size_estimate(df) >= SPREAD_MIN_BYTES and _partitions(df) < target:
-        df = df.repartition(target, F.xxhash64(*[q(c) for c in df.columns]))
-    return nan_to_null(df)
+    return nan_to_null(spark.read.format(fmt).load(path))
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
@@ -54,11 +28,16 @@ def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str,
 
 
 def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None,
-             sep: str = ",") -> DataFrame:
+             sep: str = ",", multi_line: bool = False) -> DataFrame:
     """Headered CSV, NA tokens → NULL, then per-column inference
-    int → float → bool → string decided by one coverage aggregate."""
+    int → float → bool → string decided by one coverage aggregate.
+
+    Quotes inside quoted fields are doubled. ``multi_line`` allows line ends in
+    quotes, at the price of one task per file. Whole numbers beyond 64 bits
+    make a float column."""
     tokens = list(NA_TOKENS if na_tokens is None else na_tokens)
     raw = (spark.read.option("header", True).option("sep", sep)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("inferSchema", False).option("mode", "PERMISSIVE")
            .option("nullValue", "\u0000").option("emptyValue", "")
            .csv(path))
@@ -68,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = None,
     for i, c in enumerate(cleaned.columns):
         v = q(c)
         aggs += [F.count(v).alias(f"n{i}"),
-                 F.count_if(v.rlike(_INT_PATTERN)).alias(f"i{i}"),
+                 F.count_if(v.rlike(_INT_PATTERN) & F.trim(v).try_cast("bigint").isNotNull()).alias(f"i{i}"),
                  F.count_if(v.rlike(NUMERIC_PATTERN) | F.lower(F.trim(v)).isin("inf", "-inf", "+inf")).alias(f"f{i}"),
                  F.count_if(v.isin(_BOOL_VALUES)).alias(f"b{i}")]
     cov = cleaned.agg(*aggs).first()

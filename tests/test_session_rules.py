@@ -6,15 +6,13 @@ from tablewise import session as SS
 from tablewise.sources import io
 
 
-def test_read_table_spreads_only_large_single_split_inputs(spark, monkeypatch):
-    path = os.path.join(SS.scratch_path(spark, "spread-test"), "t")
-    spark.range(1000).coalesce(1).write.mode("overwrite").parquet(path)
-    small = io.read_table(spark, path, min_partitions=4)
-    assert small.rdd.getNumPartitions() == 1  # below the size gate: no shuffle
-    monkeypatch.setattr(io, "SPREAD_MIN_BYTES", 0)
-    spread = io.read_table(spark, path, min_partitions=4)
-    assert spread.rdd.getNumPartitions() == 4
-    assert sorted(r[0] for r in spread.collect()) == list(range(1000))
+def test_read_table_leaves_the_scan_to_spark(spark):
+    path = os.path.join(SS.scratch_path(spark, "scan-test"), "t")
+    spark.range(1000).selectExpr("id", "id * 2 AS b").coalesce(1).write.mode("overwrite").parquet(path)
+    table = io.read_table(spark, path)
+    plan = table.select("id").where("id > 5")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "b:" not in plan.split("ReadSchema")[1]
+    assert table.count() == 1000
 
 
 def test_spread_for_cpu_keeps_rows(spark):
