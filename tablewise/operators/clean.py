@@ -109,21 +109,18 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
         return {}
     items = []
     for c in cols:
-        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        whole = isinstance(df.schema[c].dataType, T.IntegralType)  # kept exact beyond 2^53
+        numeric = isinstance(df.schema[c].dataType, T.NumericType) and not whole
         items.append(F.struct(F.lit(c).alias("column"),
+                              (q(c).cast("bigint") if whole else F.lit(None).cast("bigint")).alias("iv"),
                               (q(c).cast("double") if numeric else F.lit(None).cast("double")).alias("nv"),
-                              (F.lit(None).cast("string") if numeric else q(c).cast("string")).alias("sv")))
-    long = df.select(F.inline(F.array(*items))).where(F.col("nv").isNotNull() | F.col("sv").isNotNull())
-    freq = long.groupBy("column", "nv", "sv").agg(F.count(F.lit(1)).alias("cnt"))
-    best = top_k(freq, ["column"], [F.desc("cnt"), F.asc_nulls_last("nv"), F.asc_nulls_last("sv")], 1)
+                              (F.lit(None).cast("string") if whole or numeric else q(c).cast("string")).alias("sv")))
+    long = df.select(F.inline(F.array(*items))).where(F.col("iv").isNotNull() | F.col("nv").isNotNull() | F.col("sv").isNotNull())
+    freq = long.groupBy("column", "iv", "nv", "sv").agg(F.count(F.lit(1)).alias("cnt"))
+    best = top_k(freq, ["column"], [F.desc("cnt"), F.asc_nulls_last("iv"), F.asc_nulls_last("nv"), F.asc_nulls_last("sv")], 1)
     out: dict = {c: None for c in cols}
     for r in best.collect():  # ≤ one row per column
-        c = r["column"]
-        dt = df.schema[c].dataType
-        if r["nv"] is not None:
-            out[c] = r["nv"] if not isinstance(dt, (T.IntegralType,)) else int(r["nv"])
-        else:
-            out[c] = r["sv"]
+        out[r["column"]] = next((r[k] for k in ("iv", "nv", "sv") if r[k] is not None), None)
     return out
 
 
@@ -201,7 +198,7 @@ def impute_constant(df: DataFrame, col: str, value: str | None = None) -> DataFr
 
 def drop_nulls(df: DataFrame, col: str) -> DataFrame:
     """C11."""
-    return df.dropna(subset=[col])
+    return df.where(q(col).isNotNull())
 
 
 # --- C12, C13 outliers ------------------------------------------------------------

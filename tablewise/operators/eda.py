@@ -20,7 +20,6 @@ from tablewise.functions.ranking import top_k
 from tablewise.operators.schema import column_roles, detect_problem_type
 
 PAIRS_PER_JOB = 64  # 3 aggregates per pair → ≈200 expressions per job
-MATRIX_PAIRS = 2_000  # above this many null-free pairs, one matrix pass instead of chunked sums
 
 
 # --- E1, E2 ----------------------------------------------------------------------
@@ -128,20 +127,7 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None) -> list[tupl
     fullset = set(full)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     res: dict = {}
-    fp_count = len(full) * (len(full) - 1) // 2
-    if fp_count > MATRIX_PAIRS:
-        # Wide table: one tree-aggregated pass over an assembled vector computes
-        # every null-free pair at once (Spark ML's Pearson matrix).
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=[f"__c{i}" for i in full], outputCol="__v").transform(
-            df.select(*[x[i].alias(f"__c{i}") for i in full]))
-        mat = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()
-        for a, i in enumerate(full):
-            for b in range(a + 1, len(full)):
-                v = float(mat[a, b])
-                res[(i, full[b])] = None if math.isnan(v) else v
-    elif len(full) >= 2:
+    if len(full) >= 2:
         d = {i: x[i] - F.lit(float(r1[f"a{i}"])) for i in full}
         fp = [(i, j) for i, j in pairs if i in fullset and j in fullset]
         for chunk in chunks(fp, 3 * PAIRS_PER_JOB):

@@ -15,6 +15,8 @@ Plan shape (three data-dependent jobs, everything else bounded):
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ from tablewise.operators.schema import column_role, is_integral
 
 OUTLIER_MIN_DISTINCT = 5
 IQR_K = 1.5
+EXACT = 2 ** 53  # below this, doubles hold all whole numbers
+LEAST = Decimal(-2 ** 63)
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -59,7 +63,9 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Long frequency table: (column, num_value, str_value, count), nulls dropped.
 
     Numeric columns keep a double value (numeric order, no text formatting);
-    other columns are carried as text.
+    other columns are carried as text. Whole numbers that a double may not hold
+    exactly also carry their distance from the least bigint as 20 digits, which
+    tells them apart and sorts like them.
     """
     cols = cols if cols is not None else [f.name for f in df.schema.fields
                                           if column_role(f.dataType) != "other"]
@@ -70,8 +76,12 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for c in cols:
         dt = df.schema[c].dataType
         if column_role(dt) == "numeric":
+            digits = F.lit(None).cast("string")
+            if is_integral(dt):
+                v = q(c).cast("bigint")
+                digits = F.when((v >= EXACT) | (v <= -EXACT), F.lpad((v.cast("decimal(20,0)") - F.lit(LEAST)).cast("string"), 20, "0"))
             items.append(F.struct(F.lit(c).alias("column"), q(c).cast("double").alias("num_value"),
-                                  F.lit(None).cast("string").alias("str_value")))
+                                  digits.alias("str_value")))
         else:
             items.append(F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("num_value"),
                                   q(c).cast("string").alias("str_value")))
@@ -111,7 +121,8 @@ def distinct_and_samples(df: DataFrame, cols: list[str], k: int = 3, ft: DataFra
     integral = [c for c in cols if is_integral(df.schema[c].dataType)]
     text = (F.when(F.col("num_value").isNull(), F.col("str_value"))
             .when(F.col("column").isin(integral) if integral else F.lit(False),
-                  F.col("num_value").cast("bigint").cast("string"))
+                  F.coalesce((F.col("str_value").try_cast("decimal(20,0)") + F.lit(LEAST)).cast("decimal(20,0)").cast("string"),
+                             F.col("num_value").cast("bigint").cast("string")))
             .otherwise(F.col("num_value").cast("string")))
     if k > 0:
         picked = top_k(ft, ["column"], [F.col("num_value").asc_nulls_last(),
