@@ -38,6 +38,8 @@ from .kernels import U, Words, chunks, grams, mix
 
 
 SKETCH = 1024  # bits
+SLICES = 4  # of the signature space, grouped one after the other: shuffle files of one at a time
+TEXT_SLICES = 2  # of the texts, likewise
 
 
 @cache
@@ -101,13 +103,18 @@ def _sign(words: int, percent: int, parts: int, miss: int):
                 ids = np.array([int(mix(s).sum(dtype=U)) for s in sets], U)
                 sizes = np.array(list(map(len, sets)), np.int64)
                 ids = mix(ids + sizes.astype(U)).view(np.int64)
-                signs = [signatures(s, percent, parts, miss).view(np.int64) for s in sets]
-                offsets = np.concatenate(([0], np.cumsum(list(map(len, signs))))).astype(np.int32)
+                signs = [signatures(s, percent, parts, miss) for s in sets]
+                owner = np.repeat(np.arange(len(texts)), list(map(len, signs)))
+                signs = np.concatenate(signs)
                 part = b.slice(first, len(texts))
+                sliced = []
+                for i in range(SLICES):
+                    pick = np.flatnonzero(signs % U(SLICES) == U(i))
+                    offsets = np.searchsorted(owner[pick], np.arange(len(texts) + 1)).astype(np.int32)
+                    sliced.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(signs[pick].view(np.int64))))
                 sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(s) for s in sets])), SKETCH // 64).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(ids, pa.int64(), mask=sizes == 0), sketches,
-                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)))],
-                                                 ["doc_id", "h", "n", "set_id", "sketch", "signs"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(ids, pa.int64(), mask=sizes == 0), sketches, *sliced],
+                                                 ["doc_id", "h", "n", "set_id", "sketch", *[f"signs_{i}" for i in range(SLICES)]])
 
     return run
 
@@ -137,8 +144,28 @@ def _can(na: str, nb: str, sketch_a: str, sketch_b: str, percent: int) -> Column
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _fetch(rows: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, have: list[DataFrame]) -> list[DataFrame]:
+    """Tables (set_id, items): ``have``, and the sets of ``pairs`` that it lacks, from their bearers' texts."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    for t in have:
+        wanted = wanted.join(t.select("set_id"), "set_id", "left_anti")
+    wanted = save(wanted.join(classes, "set_id").select("set_id", F.col("bearer.doc_id").alias("m_id"), F.col("bearer.h").alias("m_h")), "join-wanted")
+    release(rows.sparkSession)
+    out = list(have)
+    for i in range(TEXT_SLICES):
+        part = rows.where(F.pmod("h", F.lit(TEXT_SLICES)) == i)
+        texts = part.join(wanted.where(F.pmod("m_h", F.lit(TEXT_SLICES)) == i), part.doc_id.eqNullSafe(wanted.m_id) & (part.h == wanted.m_h)).select("set_id", "text")
+        out.append(save(texts.mapInArrow(_sets(words), "set_id long, items array<long>").dropDuplicates(["set_id"]), "join-sets"))
+        release(rows.sparkSession)
+    release(rows.sparkSession, wanted)
+    return out
+
+
+def _verified(pairs: DataFrame, parts: list[DataFrame], percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) that reach the similarity."""
+    sets = parts[0]
+    for more in parts[1:]:
+        sets = sets.unionByName(more)
     x = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
@@ -155,26 +182,30 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
     pairs inside what is connected already need not all be there.
     """
     spark = rows.sparkSession
-    signed = save(rows.mapInArrow(_sign(words, percent, parts, miss), "doc_id long, h long, n long, set_id long, sketch array<long>, signs array<long>"), "join-signed")
+    schema = "doc_id long, h long, n long, set_id long, sketch array<long>" + "".join(f", signs_{i} array<long>" for i in range(SLICES))
+    signed = save(rows.mapInArrow(_sign(words, percent, parts, miss), schema), "join-signed")
     narrow = save(signed.select("doc_id", "h", "n", "set_id"), "join-rows")
     classes = save(signed.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "h")).alias("bearer")), "join-classes")
-    each = signed.select("set_id", F.explode("signs").alias("sign"))
-    shared = save(each.groupBy("sign").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sign"), "join-shared")
     release(spark)
-    members = save(each.join(shared, "sign").distinct(), "join-members")
-    release(spark, shared, signed)
+    slices = []
+    for i in range(SLICES):
+        each = signed.select("set_id", F.explode(f"signs_{i}").alias("sign"))
+        shared = save(each.groupBy("sign").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sign"), "join-shared")
+        release(spark)
+        slices.append(save(each.join(shared, "sign").distinct(), "join-members"))
+        release(spark, shared)
+    release(spark, signed)
+    members = slices[0]
+    for more in slices[1:]:
+        members = members.unionByName(more)
     # how much each member has in common with others; the first in a group is its centre
     sizes = members.groupBy("sign").agg(F.count("*").alias("size"))
     score = members.join(sizes, "sign").groupBy("set_id").agg(F.sum("size").alias("score"))
     score = save(score.join(classes.select("set_id", "n"), "set_id"), "join-score")
     release(spark)
-    plain, members = members, save(members.join(score, "set_id").select("sign", "set_id", "n", "score"), "join-ordered")
-    release(spark, plain, score)
+    members = save(members.join(score, "set_id").select("sign", "set_id", "n", "score"), "join-ordered")
+    release(spark, score, *slices)
     members = members.withColumn("o", F.struct(F.col("score").alias("s"), F.col("set_id").alias("i"))).drop("score")
-    wanted = members.select("set_id").distinct().join(classes, "set_id").select("set_id", F.col("bearer.doc_id").alias("m_id"), F.col("bearer.h").alias("m_h"))
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.m_id) & (rows.h == wanted.m_h)).select("set_id", "text")
-    sets = save(texts.mapInArrow(_sets(words), "set_id long, items array<long>").dropDuplicates(["set_id"]), "join-sets")
-    release(spark)
     # round 0: every member against its group's centre
     centre = members.groupBy("sign").agg(F.max("o").alias("c"))
     pairs = members.join(centre, "sign").where("o <> c").select(F.least("set_id", "c.i").alias("a"), F.greatest("set_id", "c.i").alias("b")).distinct()
@@ -182,6 +213,8 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
     two = classes.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b"))
     pairs = pairs.join(one, "a").join(two, "b").where(_can("na", "nb", "sketch_a", "sketch_b", percent))
     pairs = save(pairs.select("a", "b", "na", "nb"), "join-pairs")
+    release(spark)
+    sets = _fetch(rows, pairs, classes, words, [])
     links = save(_verified(pairs, sets, percent), "join-links")
     tested = pairs.select("a", "b")
     release(spark)
@@ -205,12 +238,15 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
                            F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         more = save(more.join(tested, ["a", "b"], "left_anti"), "join-pairs")
-        tested = tested.unionByName(more.select("a", "b"))
-        links = save(links.unionByName(_verified(more, sets, percent)), "join-links")
+        release(spark)
         ranked = open_.drop("part")
         first, most = most, most * 8
-        release(spark)
-    release(spark, pairs, sets)
+        if not more.isEmpty():
+            tested = tested.unionByName(more.select("a", "b"))
+            sets = _fetch(rows, more, classes, words, sets)
+            links = save(links.unionByName(_verified(more, sets, percent)), "join-links")
+            release(spark)
+    release(spark, pairs, *sets)
     return narrow, links
 
 
