@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from .kernels import U, Hasher, chunks, mix
 
 GRAM, BLOCK = 32, 16
 SEGMENT = 1 << 20  # window starts per numpy pass
+SLICES = 4  # of the texts, joined one after the other: shuffle files of one at a time
 
 
 def anchor_of(h: np.ndarray, wide: int) -> np.ndarray:
@@ -230,11 +232,15 @@ def _sorted(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions("key", "span")
 
 
-def find(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
-    """(doc_id, h, n_bytes, n_removed, n_spans, kept_sha256, kept) of rows that lose bytes.
+def _slice(df: DataFrame, h: str, i: int) -> DataFrame:
+    return df.where(F.pmod(h, F.lit(SLICES)) == i)
+
+
+def find(docs: DataFrame, length: int = 200, batches: int = 4, *, texts_too: bool) -> DataFrame:
+    """(doc_id, h, n_removed, n_spans, kept_sha256) of rows that lose bytes, from written tables.
 
     ``docs``: doc_id (long), h (hash of id and text), text; equal rows give one
-    row here or several alike. ``kept`` is the text that remains.
+    row here or several alike. With ``texts_too``, kept is the text that remains.
     """
     spark = docs.sparkSession
     arrays = save(docs.mapInArrow(_anchors(length), "doc_id long, h long, n_bytes long, keys array<long>, spans array<long>, places array<int>"), "suffix-anchors")
@@ -258,26 +264,46 @@ def find(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
     release(spark, hits)
     gone = marks.where("all").select("doc_id", "h", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit("").alias("kept"))
     marks = marks.where(~F.col("all") | (F.size("open") > 0)).withColumnsRenamed({"doc_id": "m_id", "h": "m_h"})
-    texts = docs.join(marks, docs.doc_id.eqNullSafe(marks.m_id) & (docs.h == marks.m_h)).select("doc_id", "h", "text", "whole", "open", "all")
-    texts = save(texts, "suffix-texts")
-    release(spark)
-    blocks = save(texts.where(F.size("open") > 0).mapInArrow(_blocks(length), "doc_id long, h long, lo long, hi long, middle long, whole long"), "suffix-blocks")
+    texts = []
+    for i in range(SLICES):
+        part = _slice(docs, "h", i).join(_slice(marks, "m_h", i), docs.doc_id.eqNullSafe(marks.m_id) & (docs.h == marks.m_h))
+        texts.append(save(part.select("doc_id", "h", "text", "whole", "open", "all"), "suffix-texts"))
+        release(spark)
+    blocks = save(_all(texts).where(F.size("open") > 0).mapInArrow(_blocks(length), "doc_id long, h long, lo long, hi long, middle long, whole long"), "suffix-blocks")
     kinds = save(blocks.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi", "middle")).alias("x")).select("whole", "n", "x.*"), "suffix-kinds")
     release(spark)
     doubled = blocks.join(kinds.where("n > 1").select("whole"), "whole", "left_semi").select("doc_id", "h", "lo", (F.col("hi") + length).alias("end"))
+    every, doubled = blocks, save(doubled, "suffix-doubled")
+    release(spark, every)
     mixed = kinds.groupBy("middle").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least < 2").select("middle")
-    ask = kinds.join(mixed, "middle", "left_semi").groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
-    single = texts.select("doc_id", "h", "text").join(ask, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")))
-    single = single.select("doc_id", "h", "text", "blocks").mapInArrow(_single_windows(length), "doc_id long, h long, lo long, window long")
-    single = save(single, "suffix-windows")
-    release(spark)
-    twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single_hits = single.join(twice, "window", "left_semi").select("doc_id", "h", "lo", (F.col("lo") + length).alias("end"))
+    ask = save(kinds.join(mixed, "middle", "left_semi").groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.collect_list(F.struct("lo", "hi")).alias("blocks")), "suffix-ask")
+    release(spark, kinds)
+    single = []
+    for i, part in enumerate(texts):
+        asked = part.select("doc_id", "h", "text").join(_slice(ask, "m_h", i), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")))
+        asked = asked.select("doc_id", "h", "text", "blocks").mapInArrow(_single_windows(length), "doc_id long, h long, lo long, window long")
+        single.append(save(asked, "suffix-windows"))
+        release(spark)
+    windows = _all(single)
+    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    single_hits = windows.join(twice, "window", "left_semi").select("doc_id", "h", "lo", (F.col("lo") + length).alias("end"))
     fine = doubled.unionByName(single_hits).groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.collect_set(F.struct("lo", "end")).alias("fine"))
-    t = texts.where(~F.col("all")).join(fine, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left")
-    coarse = F.transform("whole", lambda p: F.struct(F.greatest(F.lit(0), p - reach).cast("long").alias("lo"), F.least(F.octet_length("text"), p + length).cast("long").alias("end")))
-    t = t.select("doc_id", "h", "text", F.concat(coarse, F.coalesce("fine", F.array().cast("array<struct<lo:bigint,end:bigint>>"))).alias("cover")).where(F.size("cover") > 0)
-    return gone.unionByName(t.mapInArrow(_cut, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    fine = save(fine, "suffix-fine")
+    release(spark, doubled, ask, *single)
+    columns = ["doc_id", "h", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts_too
+    out = []
+    for i, part in enumerate(texts):
+        t = part.where(~F.col("all")).join(_slice(fine, "m_h", i), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left")
+        coarse = F.transform("whole", lambda p: F.struct(F.greatest(F.lit(0), p - reach).cast("long").alias("lo"), F.least(F.octet_length("text"), p + length).cast("long").alias("end")))
+        t = t.select("doc_id", "h", "text", F.concat(coarse, F.coalesce("fine", F.array().cast("array<struct<lo:bigint,end:bigint>>"))).alias("cover")).where(F.size("cover") > 0)
+        out.append(save(t.mapInArrow(_cut, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string, kept string").select(*columns), "suffix-cut"))
+        release(spark, part)
+    release(spark, fine)
+    return gone.select(*columns).unionByName(_all(out))
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,7 +320,7 @@ def digest(docs: DataFrame, length: int = 200, batches: int = 4, doc_id: str = "
     whole; other columns are not looked at.
     """
     d = keyed(docs, doc_id, text)
-    lost = save(find(d, length, batches).drop("kept").distinct(), "suffix-lost")
+    lost = find(d, length, batches, texts_too=False).distinct()
     narrow = d.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     lost = lost.withColumnsRenamed({"doc_id": "m_id", "h": "m_h"})
     j = narrow.join(lost, narrow.doc_id.eqNullSafe(lost.m_id) & (narrow.h == lost.m_h), "left")
@@ -309,7 +335,7 @@ def remove(docs: DataFrame, length: int = 200, batches: int = 4) -> DataFrame:
     that a passage's edge cuts in two are dropped. A null text stays null.
     """
     d = docs.withColumn("__h", row_hash(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    lost = save(find(keyed(docs), length, batches).select(F.col("doc_id").alias("__id"), F.col("h").alias("__ph"), "kept").dropDuplicates(["__id", "__ph"]), "suffix-lost")
+    lost = find(keyed(docs), length, batches, texts_too=True).select(F.col("doc_id").alias("__id"), F.col("h").alias("__ph"), "kept").dropDuplicates(["__id", "__ph"])
     j = d.join(lost.withColumnRenamed("kept", "__kept"), d.doc_id.cast("long").eqNullSafe(lost["__id"]) & (d["__h"] == lost["__ph"]), "left")
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept"))
     return j.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
