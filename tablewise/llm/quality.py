@@ -20,8 +20,9 @@ from .kernels import U, Words, chunks, covered, grams, mix, repeated
 
 WINDOW = 8
 #: n-gram length -> largest share of word characters in n-grams found twice or more.
-GRAM_LIMITS = {5: 0.60, 6: 0.55, 7: 0.50, 8: 0.45, 9: 0.40, 10: 0.35}
-LINE_LIMIT = 0.30
+#: All are well below the 30 % of words that base lets pass in 8-word windows, so each rule decides texts of its own.
+GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LINE_LIMIT = 0.20
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True

@@ -53,3 +53,27 @@ def test_random_texts_and_kept_rows(spark):
         assert {k: v for k, v in r.asDict().items() if k != "doc_id"} == brute(rows[r.doc_id][1])
     kept = quality.judge(df, keep_rows=True)
     assert kept.columns == ["doc_id", "text", "kept"] and {tuple(r)[:2] for r in kept.collect()} == set(rows)
+
+
+def test_each_rule_rejects_alone(spark):
+    """Words are of one length, so shares of words are shares of characters."""
+    def fresh(tag, n):
+        return [f"{tag}{i:04d}" for i in range(n)]
+
+    def phrase_twice(k, n):
+        phrase, rest = fresh("p", k), fresh("w", n - 2 * k)
+        return " ".join(phrase + rest[:7] + phrase + rest[7:])
+
+    sizes = {5: 60, 6: 83, 7: 104, 8: 128, 9: 157, 10: 190}
+    texts = {k: phrase_twice(k, n) for k, n in sizes.items()}
+    line, rest = " ".join(fresh("p", 4)), fresh("w", 24)
+    texts["line"] = "\n".join([line, *rest[:9], line, *rest[9:], line])
+    clean = {f"clean{k}": phrase_twice(k, 4 * n) for k, n in sizes.items()} | {"fresh": " ".join(fresh("w", 200)), "line once": "\n".join([line, *fresh("w", 24)])}
+    rows = list((texts | clean).items())
+    got = quality.judge(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, text string")).collect()
+    for r in got:
+        name = rows[r.doc_id][0]
+        over = {k for k, limit in quality.GRAM_LIMITS.items() if r[f"gram_chars_{k}"] > limit * r.word_chars}
+        over |= {"line"} if r.dup_line_chars > quality.LINE_LIMIT * r.word_chars else set()
+        assert not r.base_failed, name
+        assert (over, r.kept) == (({name}, False) if name in texts else (set(), True)), name
