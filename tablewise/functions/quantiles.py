@@ -3,350 +3,241 @@
 Semantics are those of pandas ``Series.quantile`` / Spark ``percentile`` /
 DuckDB ``quantile_cont``: with n non-null values sorted, position
 h = p·(n−1), result = v[floor(h)] + (v[floor(h)+1] − v[floor(h)])·frac(h).
-
-Two physical strategies:
-
-* **small** (non-null count per column/group ≤ ``small_n``): Spark's exact
-  ``percentile`` aggregate in one job. It keeps a value→count map per group in
-  the final-aggregation task, which is why it is only used under the bound.
-* **refine** (any size): a distributed selection. Every pass buckets the values
-  that can still hold a target rank into ``buckets`` equal-width bins — one
-  partial-aggregated ``groupBy(target, bin)`` — and the driver keeps only the
-  bin that holds the rank (≤ targets × buckets rows come back). Once a bin holds
-  at most ``leaf`` values, or a single distinct value, its values are fetched
-  and the rank is read off exactly. A hot value (one value holding a third of
-  the rows) collapses to a one-value bin in the first pass.
+Infinities are extreme values like any other (NaN after +inf, as Spark sorts).
+
+One path at every size and for any number of groups, a distributed selection
+over a table of targets (group, column, rank):
+
+* Values are compared by their 64 bits as an ordered whole number. A pass cuts
+  the interval of each open target into at most ``buckets`` bins of leading
+  bits, counts them with one partial-aggregated ``groupBy``, and a running sum
+  over the bins of each interval picks the bin holding the rank, all on the
+  executors. Each pass fixes at least log2(``buckets``) of the 64 bits, so the
+  passes are bounded (7 for 1024) whatever the values are.
+* An interval with one distinct value is resolved on the spot, whatever its
+  count (a hot value). Intervals of at most ``leaf`` rows are ranked by one
+  window each.
+* Rows meet the intervals by a join on (group, column): an interval table of at
+  most ``BROADCAST_ROWS`` counted rows is broadcast; with a larger one the join
+  is on (group, column, salt), so that a group holding a third of the rows is
+  spread over ``SALTS`` tasks and counted before the next shuffle.
+
+Grouped targets stay a table, cut by reliable checkpoints between passes; the
+driver sees two counts a pass. Ungrouped targets (columns × probs × 2 rows) go
+through the driver between passes.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.exprs import q
+from tablewise.session import materialize
 
 _GROUP = "__g"
 _COL = "__c"
 _VAL = "__v"
 _W = "__w"
-
-
-@dataclass
-class _Target:
-    tid: int
-    group: object
-    col: int
-    rank: int
-    lo: float
-    hi: float
-    below: int = 0
-    value: float | None = None
-    fetch: bool = False
+_KEY = "__k"
+_PROBE = [_GROUP, _COL, "klo"]
+_TARGET = [_GROUP, _COL, "n", "rank", "below", "rows", "klo", "khi", "vlo"]
+SALTS = 32
+BROADCAST_ROWS = 10_000
 
 
 def _long_form(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
-    """(group, column index, double value) rows, nulls dropped."""
+    """(group, column index, double value, weight 1) rows; null values stay, null groups don't."""
     g = q(by).cast("string") if by else F.lit("")
     arr = F.array(*[F.struct(F.lit(i).alias(_COL), q(c).cast("double").alias(_VAL))
                     for i, c in enumerate(cols)])
-    out = df.select(g.alias(_GROUP), F.inline(arr))
-    out = out.where(F.col(_VAL).isNotNull())
-    if by:
-        out = out.where(F.col(_GROUP).isNotNull())
-    return out
-
-
-def _interp(lo_v, hi_v, frac):
-    if hi_v is None or frac == 0:
-        return lo_v
-    return lo_v + (hi_v - lo_v) * frac
+    src = df.where(q(by).isNotNull()) if by else df
+    return src.select(g.alias(_GROUP), F.inline(arr)).withColumn(_W, F.lit(1).cast("bigint"))
+
+
+def _keyed(long: DataFrame) -> DataFrame:
+    """Adds the value's bits as a whole number of the same order (0.0 and -0.0 alike)."""
+    v = long.where(F.col(_VAL).isNotNull()).withColumn(_VAL, F.when(F.col(_VAL) == 0, 0.0).otherwise(F.col(_VAL)))
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(_VAL)).cast("bigint")
+    return v.withColumn(_KEY, bits).withColumn(
+        _KEY, F.when(F.col(_KEY) >= 0, F.col(_KEY)).otherwise(F.col(_KEY).bitwiseXOR(F.lit(2 ** 63 - 1))))
+
+
+def _key_of(v: float) -> int:
+    v = math.nan if v != v else (v or 0.0)
+    k = struct.unpack(">q", struct.pack(">d", v))[0]
+    return k if k >= 0 else k ^ (2 ** 63 - 1)
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with a table of few rows a key, counted first: a small one
+    is broadcast, for a larger one a hot key's rows are spread over SALTS tasks."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), keys)
+    left = rows.withColumn("__salt", (F.rand(17) * SALTS).cast("int"))
+    right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+def _inside(data: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of ``data`` inside the targets' intervals; targets sharing an interval meet a row once."""
+    probes = targets.select(*_PROBE, "khi").distinct()
+    return join_few(data, probes, [_GROUP, _COL]).where(F.col(_KEY).between(F.col("klo"), F.col("khi")))
+
+
+def _pick(counts: DataFrame, targets: DataFrame, order: str) -> DataFrame:
+    """The bin of each target: running sum of the counts of its interval, at most buckets (leaf) rows each."""
+    upto = Window.partitionBy(*_PROBE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = counts.withColumn("upto", F.sum("b_n").over(upto))
+    t = targets.drop("rows", "khi", "vlo")
+    return (t.join(bins, _PROBE)
+            .where((F.col("below") + F.col("upto") > F.col("rank"))
+                   & (F.col("below") + F.col("upto") - F.col("b_n") <= F.col("rank")))
+            .select(_GROUP, _COL, "n", "rank", (F.col("below") + F.col("upto") - F.col("b_n")).alias("below"),
+                    F.col("b_rows").alias("rows"), F.col("b_lo").alias("klo"), F.col("b_hi").alias("khi"),
+                    F.col("b_v").alias("vlo")))
+
+
+def _bin_aggs():
+    return [F.sum(_W).alias("b_n"), F.count(F.lit(1)).alias("b_rows"), F.min(_KEY).alias("b_lo"),
+            F.max(_KEY).alias("b_hi"), F.min(_VAL).alias("b_v")]
+
+
+def _targets(stats: DataFrame, probs: list[float]) -> DataFrame:
+    """One row per rank needed (k and k+1 per prob) of each (group, column) with values."""
+    h = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = F.array(*[F.floor(x) for x in h], *[F.least(F.ceil(x), F.col("n") - 1) for x in h])
+    return (stats.where(F.col("n") > 0)
+            .withColumn("rank", F.explode(F.array_distinct(ranks))).withColumn("below", F.lit(0).cast("bigint"))
+            .select(*_TARGET))
+
+
+def _select(data: DataFrame, targets: DataFrame, buckets: int, leaf: int, grouped: bool) -> DataFrame:
+    """Resolves every target: rows of (group, column, n, rank, value in vlo)."""
+    bits = max(1, int(math.log2(max(2, buckets))))
+    spark = data.sparkSession
+
+    def settle(t):
+        return materialize(t) if grouped else spark.createDataFrame(t.collect(), t.schema)
+
+    t = settle(targets)
+    split = F.col("klo") < F.col("khi")
+    wide = split & (F.col("rows") > leaf)
+    while not t.where(wide).isEmpty():
+        free = F.greatest(F.lit(0), F.length(F.bin(F.col("klo").bitwiseXOR(F.col("khi")))) - bits)
+        cand = _inside(data, t.where(wide)).withColumn("__s", free)
+        counts = cand.groupBy(*_PROBE, F.expr(f"shiftright({_KEY}, __s)").alias("b")).agg(*_bin_aggs())
+        t = settle(_pick(counts, t.where(wide), "b").unionByName(t.where(~wide)))
+    if not t.where(split).isEmpty():
+        counts = _inside(data, t.where(split)).groupBy(*_PROBE, F.col(_KEY).alias("b")).agg(*_bin_aggs())
+        t = settle(_pick(counts, t.where(split), "b").unionByName(t.where(~split)))
+    return t
+
+
+def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int, leaf: int, grouped: bool) -> DataFrame:
+    """(group, column index, qs: value per prob) for each row of ``stats``; qs null without values."""
+    t = _select(data, _targets(stats, probs), buckets, leaf, grouped)
+    m = t.groupBy(_GROUP, _COL, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "vlo"))).alias("m"))
+    out = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col("n") - 1)
+        frac = h - F.floor(h)
+        a = F.element_at("m", F.floor(h))
+        b = F.element_at("m", F.least(F.ceil(h), F.col("n") - 1))
+        step = b - a
+        plain = (step > -math.inf) & (step < math.inf)  # else an infinity, or a step beyond the doubles
+        out.append(F.when((frac == 0) | (a == b), a).when(plain, a + step * frac).otherwise(a * (1 - frac) + b * frac))
+    none = stats.where(F.col("n") == 0).select(_GROUP, _COL, F.lit(None).cast("array<double>").alias("qs"))
+    return m.select(_GROUP, _COL, F.array(*out).alias("qs")).unionByName(none)
+
+
+def _stats(long: DataFrame, keyed: DataFrame) -> DataFrame:
+    seen = keyed.groupBy(_GROUP, _COL).agg(F.sum(_W).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(_KEY).alias("klo"),
+                                           F.max(_KEY).alias("khi"), F.min(_VAL).alias("vlo"))
+    names = long.select(_GROUP, _COL).distinct()
+    return names.join(seen, [_GROUP, _COL], "left").fillna(0, ["n", "rows"])
+
+
+def _as_dict(table: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    return {(r[_GROUP], cols[r[_COL]]): r["qs"] if r["qs"] is not None else [None] * len(probs) for r in table.collect()}
+
+
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: str, buckets: int = 1024,
+                   leaf: int = 20_000) -> DataFrame:
+    """Exact quantiles per group as a table: (group, column, qs), one row per group and column.
+
+    ``group`` is the string form of ``by``, without a limit on the number of
+    groups; ``qs`` holds a value per prob, or is null without non-null values.
+    """
+    long = _long_form(df, cols, by)
+    data = _keyed(long)
+    stats = materialize(_stats(long, data))
+    names = F.array(*[F.lit(c) for c in cols])
+    t = _table(data, stats, probs, buckets, leaf, True)
+    return t.select(F.col(_GROUP).alias("group"), F.get(names, F.col(_COL)).alias("column"), "qs")
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
-              method: str = "auto", small_n: int = 2_000_000, buckets: int = 1024,
-              leaf: int = 20_000, max_groups: int = 10_000, stats: dict | None = None) -> dict:
-    """Exact quantiles. Returns {(group, column): [value per prob]} (bounded).
+              method: str = "auto", buckets: int = 1024, leaf: int = 20_000, stats: dict | None = None) -> dict:
+    """Exact quantiles. Returns {(group, column): [value per prob]}.
 
     ``group`` is the string form of ``by`` (or "" when ungrouped). Columns or
     groups with no non-null values map to a list of ``None``. ``stats`` —
     {column: (non-null count, min, max)} already known to the caller (ungrouped
-    only) — saves the statistics job.
+    only) — saves the statistics job. With ``by`` the dict has an entry per
+    group: use :func:`quantile_table` where they may be many. ``method="small"``
+    asks for Spark's own ``percentile`` (a value map per group, for comparison).
     """
     cols = list(cols)
     if not cols:
         return {}
-    stats_aggs = []
-    for i, c in enumerate(cols):
-        v = q(c).cast("double")
-        stats_aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    if stats is not None and not by:
-        row = {_GROUP: ""}
-        for i, c in enumerate(cols):
-            n_, lo_, hi_ = stats[c]
-            row.update({f"n{i}": n_, f"lo{i}": None if lo_ is None else float(lo_),
-                        f"hi{i}": None if hi_ is None else float(hi_)})
-        stats = [row]
-    elif by:
-        stats = (df.where(q(by).isNotNull()).groupBy(q(by).cast("string").alias(_GROUP))
-                 .agg(*stats_aggs).limit(max_groups + 1).collect())
-        if len(stats) > max_groups:
-            raise ValueError(f"quantiles by '{by}': more than {max_groups} groups")
+    if method == "small":
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        rows = _long_form(df, cols, by).groupBy(_GROUP, _COL).agg(F.percentile(_VAL, arr).alias("qs"))
+        return {("", c): [None] * len(probs) for c in cols if not by} | _as_dict(rows, cols, probs)
+    if by:
+        rows = quantile_table(df, cols, probs, by, buckets, leaf).collect()
+        return {(r["group"], r["column"]): r["qs"] if r["qs"] is not None else [None] * len(probs) for r in rows}
+    long = _long_form(df, cols, None)
+    data = _keyed(long)
+    if stats is None:
+        known = _stats(long, data).collect()
     else:
-        stats = [r for r in df.agg(*stats_aggs).collect()]
-        stats = [dict(r.asDict(), **{_GROUP: ""}) for r in stats]
-    stats = [r if isinstance(r, dict) else r.asDict() for r in stats]
+        known = [("", i, n, n, _key_of(float(lo)), _key_of(float(hi)), float(lo)) for i, c in enumerate(cols)
+                 for n, lo, hi in [stats[c]] if n]
+    return _ungrouped(data, known, cols, probs, buckets, leaf)
 
-    largest = max((r[f"n{i}"] or 0) for r in stats for i in range(len(cols))) if stats else 0
-    if method == "auto":
-        method = "small" if largest <= small_n else "refine"
 
-    result: dict = {}
-    if method == "small":
-        aggs = [F.percentile(q(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"p{i}")
-                for i, c in enumerate(cols)]
-        if by:
-            rows = (df.where(q(by).isNotNull()).groupBy(q(by).cast("string").alias(_GROUP))
-                    .agg(*aggs).collect())
-        else:
-            rows = [dict(r.asDict(), **{_GROUP: ""}) for r in df.agg(*aggs).collect()]
-        for r in rows:
-            r = r if isinstance(r, dict) else r.asDict()
-            for i, c in enumerate(cols):
-                vals = r[f"p{i}"]
-                result[(r[_GROUP], c)] = list(vals) if vals is not None else [None] * len(probs)
-        for r in stats:
-            for c in cols:
-                result.setdefault((r[_GROUP], c), [None] * len(probs))
-        return result
-
-    # ---- refine: distributed selection -------------------------------------
-    targets: list[_Target] = []
-    plan: dict = {}  # (group, col) -> list of (k_target, k1_target, frac) per prob
-    by_rank: dict = {}
-    for r in stats:
-        gkey = r[_GROUP]
-        for i, c in enumerate(cols):
-            n = r[f"n{i}"] or 0
-            entries = []
-            for p in probs:
-                if n == 0:
-                    entries.append(None)
-                    continue
-                h = p * (n - 1)
-                k = int(math.floor(h))
-                frac = h - k
-                ks = [k] + ([k + 1] if frac > 0 and k + 1 < n else [])
-                tts = []
-                for rank in ks:
-                    key = (gkey, i, rank)
-                    if key not in by_rank:
-                        t = _Target(len(targets), gkey, i, rank, r[f"lo{i}"], r[f"hi{i}"])
-                        if t.lo == t.hi:
-                            t.value = t.lo
-                        targets.append(t)
-                        by_rank[key] = t
-                    tts.append(by_rank[key])
-                entries.append((tts, frac))
-            plan[(gkey, c)] = entries
-
-    long_df = _long_form(df, cols, by)
-    spark = df.sparkSession
-    tschema = T.StructType([
-        T.StructField("tid", T.IntegerType()), T.StructField(_GROUP, T.StringType()),
-        T.StructField(_COL, T.IntegerType()), T.StructField("lo", T.DoubleType()),
-        T.StructField("hi", T.DoubleType())])
-
-    def _bucketed(probes):
-        """(pid, bucket, value) rows for the values inside each probe's interval."""
-        keys = list(probes)
-        if not by:
-            # Intervals are literals: no join, one projection per probe, and the
-            # disjunction of the intervals is pushed to the scan first.
-            cond = None
-            items = []
-            for pid, (_, i, lo, hi) in enumerate(keys):
-                v = q(cols[i]).cast("double")
-                inside = v.between(float(lo), float(hi))
-                cond = inside if cond is None else (cond | inside)
-                width = float(hi) - float(lo)
-                b = (F.lit(0) if width <= 0 else
-                     F.least(F.floor((v - float(lo)) / width * buckets), F.lit(buckets - 1)))
-                items.append(F.when(inside, F.struct(F.lit(pid).alias("pid"), b.cast("int").alias("b"),
-                                                     v.alias(_VAL), F.lit(1).cast("bigint").alias(_W))))
-            arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-            return df.where(cond).select(F.inline(arr))
-        # Grouped: intervals differ per group; the probe table is bounded
-        # (≤ max_groups × columns × 2·probs rows), so broadcasting it is safe.
-        tdf = spark.createDataFrame([(pid, g, i, float(lo), float(hi)) for pid, (g, i, lo, hi) in enumerate(keys)],
-                                    tschema)
-        cand = (long_df.join(F.broadcast(tdf), [_GROUP, _COL])
-                .where(F.col(_VAL).between(F.col("lo"), F.col("hi"))))
-        width = F.col("hi") - F.col("lo")
-        b = F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.floor((F.col(_VAL) - F.col("lo")) / width * buckets), F.lit(buckets - 1))).cast("int")
-        return cand.select(F.col("tid").alias("pid"), b.alias("b"), F.col(_VAL), F.lit(1).cast("bigint").alias(_W))
-
-    _refine(targets, _probes, _bucketed, leaf)
-
-    for key, entries in plan.items():
-        out = []
-        for e in entries:
-            if e is None:
-                out.append(None)
-                continue
-            tts, frac = e
-            out.append(_interp(tts[0].value, tts[1].value if len(tts) > 1 else None, frac))
-        result[key] = out
-    return result
-
-
-def _probes(active):
-    """Targets sharing an interval are one probe: the data is bucketed once per probe."""
-    probes: dict = {}
-    for t in active:
-        probes.setdefault((t.group, t.col, t.lo, t.hi), []).append(t)
-    return probes
-
-
-def _refine(targets: list, probes_of, bucketed, leaf: int) -> None:
-    """Distributed selection core. ``bucketed(probes)`` yields (pid, b, value, weight)
-    rows for the values inside each probe's interval; ranks count weight."""
-    for _ in range(64):
-        active = [t for t in targets if t.value is None and not t.fetch]
-        if not active:
-            break
-        probes = probes_of(active)
-        rows = (bucketed(probes).groupBy("pid", "b")
-                .agg(F.count(F.lit(1)).alias("rows"), F.sum(_W).alias("n"), F.min(_VAL).alias("mn"),
-                     F.max(_VAL).alias("mx"))
-                .collect())  # ≤ probes × buckets rows
-        per: dict = {}
-        for row in rows:
-            per.setdefault(row["pid"], []).append(row)
-        pid_of = {k: pid for pid, k in enumerate(probes)}
-        for t in active:
-            seen = t.below
-            for row in sorted(per.get(pid_of[(t.group, t.col, t.lo, t.hi)], []), key=lambda x: x["b"]):
-                if seen + row["n"] > t.rank:
-                    t.below = seen
-                    t.lo, t.hi = row["mn"], row["mx"]
-                    if t.lo == t.hi:
-                        t.value = t.lo
-                    elif row["rows"] <= leaf:
-                        t.fetch = True
-                    break
-                seen += row["n"]
-            else:  # pragma: no cover - counts are consistent by construction
-                raise RuntimeError("quantile refinement lost its rank")
-
-    fetch = [t for t in targets if t.value is None]
-    if fetch:
-        probes = probes_of(fetch)
-        vals: dict = {}
-        for row in bucketed(probes).select("pid", _VAL, _W).collect():  # ≤ leaf rows per probe
-            vals.setdefault(row["pid"], []).append((row[_VAL], row[_W]))
-        for pid, key in enumerate(probes):
-            ordered = sorted(vals[pid])
-            for t in probes[key]:
-                acc = t.below
-                for v, w in ordered:
-                    acc += w
-                    if acc > t.rank:
-                        t.value = v
-                        break
-
-
-def _targets_for(stats_rows, cols, probs):
-    """Rank targets (k and k+1 per prob) from per (group, column) n/min/max rows."""
-    targets: list[_Target] = []
-    plan: dict = {}
-    by_rank: dict = {}
-    for gkey, i, n, lo, hi in stats_rows:
-        entries = []
-        for p in probs:
-            if not n:
-                entries.append(None)
-                continue
-            h = p * (n - 1)
-            k = int(math.floor(h))
-            frac = h - k
-            ks = [k] + ([k + 1] if frac > 0 and k + 1 < n else [])
-            tts = []
-            for rank in ks:
-                key = (gkey, i, rank)
-                if key not in by_rank:
-                    t = _Target(len(targets), gkey, i, rank, lo, hi)
-                    if t.lo == t.hi:
-                        t.value = t.lo
-                    targets.append(t)
-                    by_rank[key] = t
-                tts.append(by_rank[key])
-            entries.append((tts, frac))
-        plan[(gkey, cols[i])] = entries
-    return targets, plan
-
-
-def _finish(plan: dict) -> dict:
-    result = {}
-    for key, entries in plan.items():
-        out = []
-        for e in entries:
-            if e is None:
-                out.append(None)
-                continue
-            tts, frac = e
-            out.append(_interp(tts[0].value, tts[1].value if len(tts) > 1 else None, frac))
-        result[key] = out
-    return result
+def _ungrouped(data: DataFrame, known: list, cols: list[str], probs: list[float], buckets: int, leaf: int) -> dict:
+    st = data.sparkSession.createDataFrame(known, f"{_GROUP} string, {_COL} int, n long, rows long, klo long, khi long, vlo double")
+    return {("", c): [None] * len(probs) for c in cols} | _as_dict(_table(data, st, probs, buckets, leaf, False), cols, probs)
 
 
 def quantiles_from_counts(freq: DataFrame, cols: list[str], probs: list[float], column: str = "column",
                           value: str = "num_value", weight: str = "count", method: str = "auto",
-                          small_n: int = 2_000_000, buckets: int = 1024, leaf: int = 20_000) -> dict:
+                          buckets: int = 1024, leaf: int = 20_000) -> dict:
     """Exact quantiles from a (column, value, count) frequency table.
 
-    Same semantics as :func:`quantiles` (ranks count the weights). ``small``:
-    Spark's ``percentile`` with its frequency argument, one group per column
-    (each holds that column's distinct values, hence the bound). ``refine``:
-    the weighted distributed selection. Returns {("", column): [values]}.
+    Same semantics and path as :func:`quantiles` (ranks count the weights).
+    Returns {("", column): [values]}.
     """
     cols = list(cols)
     if not cols:
         return {}
     src = freq.where(F.col(column).isin(cols) & F.col(value).isNotNull())
-    st = {r[column]: r for r in src.groupBy(column).agg(
-        F.sum(weight).alias("n"), F.count(F.lit(1)).alias("d"), F.min(value).alias("lo"),
-        F.max(value).alias("hi")).collect()}
-    if method == "auto":
-        method = "small" if max((r["d"] for r in st.values()), default=0) <= small_n else "refine"
     if method == "small":
         arr = F.array(*[F.lit(float(p)) for p in probs])
         rows = src.groupBy(column).agg(F.percentile(F.col(value), arr, F.col(weight)).alias("p")).collect()
-        out = {("", c): [None] * len(probs) for c in cols}
-        for r in rows:
-            out[("", r[column])] = list(r["p"])
-        return out
-    stats_rows = [("", i, (st[c]["n"] if c in st else 0), st[c]["lo"] if c in st else None,
-                   st[c]["hi"] if c in st else None) for i, c in enumerate(cols)]
-    targets, plan = _targets_for(stats_rows, cols, probs)
-
-    def bucketed(probes):
-        items = []
-        for pid, (_, i, lo, hi) in enumerate(probes):
-            v = F.col(value)
-            inside = (F.col(column) == cols[i]) & v.between(float(lo), float(hi))
-            width = float(hi) - float(lo)
-            b = F.lit(0) if width <= 0 else F.least(F.floor((v - float(lo)) / width * buckets), F.lit(buckets - 1))
-            items.append(F.when(inside, F.struct(F.lit(pid).alias("pid"), b.cast("int").alias("b"),
-                                                 v.alias(_VAL), F.col(weight).cast("bigint").alias(_W))))
-        return src.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
-
-    _refine(targets, _probes, bucketed, leaf)
-    return _finish(plan)
+        return {("", c): [None] * len(probs) for c in cols} | {("", r[column]): list(r["p"]) for r in rows}
+    at = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col(column)).cast("int") - 1
+    long = src.select(F.lit("").alias(_GROUP), at.alias(_COL), F.col(value).cast("double").alias(_VAL),
+                      F.col(weight).cast("bigint").alias(_W))
+    data = _keyed(long)
+    return _ungrouped(data, _stats(long, data).collect(), cols, probs, buckets, leaf)
 
 
 def quantile_frame(spark, result: dict, probs: list[float], group_name: str | None = None) -> DataFrame:

@@ -62,3 +62,33 @@ def test_quantiles_from_counts(spark, method):
     got = quantiles_from_counts(freq, ["x"], probs, method=method, buckets=8, leaf=10)[("", "x")]
     for p, g in zip(probs, got):
         assert g == pytest.approx(_np_quantile(vals, p), abs=1e-12)
+
+
+def test_box_plot_by_a_key_column(spark):
+    """12,000 groups, one with a third of the rows: no cap, and groups stay a table."""
+    from pyspark.sql import functions as F
+    from tablewise.functions.quantiles import quantile_table
+    from tablewise.operators import charts as V
+    hot = spark.range(18_000).select(F.lit(-1).cast("long").alias("g"), F.pmod(F.col("id") * 7919, F.lit(10_007)).cast("double").alias("x"))
+    df = spark.range(36_000).select(F.pmod("id", F.lit(12_000)).alias("g"), (F.col("id") % 101).cast("double").alias("x")).unionByName(hot)
+    want = {r["g"]: r["p"] for r in df.groupBy(F.col("g").cast("string").alias("g")).agg(
+        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).collect()}
+    summary = {r["group"]: [r["q1"], r["median"], r["q3"]] for r in V.box_stats(df, "x", "g")[0].collect()}
+    assert len(summary) == 12_001 and summary == want
+    got = {r["group"]: r["qs"] for r in quantile_table(df, ["x"], [0.25, 0.5, 0.75], "g", leaf=500).where("group < '1'").collect()}
+    assert got == {g: p for g, p in want.items() if g < "1"}
+
+
+def test_infinities_are_extreme_values(spark):
+    """An interval with an infinity shrinks like any other: nothing is left over to gather."""
+    inf = float("inf")
+    vals = [-inf] * 3 + [inf] * 4 + [1e308, -1e308, 5e-324, 0.0, -0.0] + [float(v) for v in np.random.default_rng(3).lognormal(0, 60, 400)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.98, 1.0]
+    got = quantiles(df, ["x"], probs, method="refine", buckets=1024, leaf=3)[("", "x")]
+    ordered = sorted(vals)
+    for p, g in zip(probs, got):
+        h = p * (len(vals) - 1)
+        a, b = ordered[int(h)], ordered[min(int(h) + 1, len(vals) - 1)]
+        assert g == (a if a == b or h == int(h) else pytest.approx(a + (b - a) * (h - int(h)), rel=1e-12))
+    assert quantiles(spark.createDataFrame([(-1e308,), (1e308,), (inf,), (inf,)], "x double"), ["x"], [1 / 6, 0.5, 1.0], method="refine") == {("", "x"): [0.0, inf, inf]}
