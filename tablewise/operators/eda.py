@@ -336,9 +336,10 @@ def apply_features(df: DataFrame, suggestions: DataFrame) -> DataFrame:
     return df.select("*", *new)
 
 
-def eda_summary(df: DataFrame, target: str | None = None, limit_cols: int = 15) -> dict:
-    """Compact profile: shape, role counts, target info, first 15 numeric
-    summaries and categorical top values, top correlations (bounded dict)."""
+def eda_summary(df: DataFrame, target: str | None = None, limit_cols: int | None = None) -> dict:
+    """Compact profile: shape, role counts, target info, summaries of every
+    numeric column and top values of every categorical one (``limit_cols`` asks
+    for the first of each kind only), top correlations (a few rows a column)."""
     num, cat = column_roles(df)
     n = df.count()
     desc = describe_rows(df, num[:limit_cols])

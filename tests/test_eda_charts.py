@@ -89,3 +89,11 @@ def test_correlation_of_tiny_variances_in_a_wide_table(spark):
     assert len(wide) == 66 * 65 // 2 and all(r is not None for r in wide.values())
     for i, j, a, b, r in E.correlation_pairs(df, ["c0", "c1", "c65"]):
         assert r == pytest.approx(wide[(a, b)], abs=1e-9)
+
+
+def test_eda_summary_has_every_column(spark):
+    df = spark.range(6).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"n{i}") for i in range(17)],
+                               *[F.concat(F.lit(f"c{i}_"), F.col("id") % 2).alias(f"s{i}") for i in range(17)])
+    out = E.eda_summary(df)
+    assert set(out["numeric_columns_summary"]) == {f"n{i}" for i in range(17)}
+    assert {r["column"] for r in out["categorical_columns_summary"]} == {f"s{i}" for i in range(17)}
