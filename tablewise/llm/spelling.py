@@ -6,9 +6,10 @@ is the three rarest (and all that tie with the third); any three bigrams hold tw
 disjoint ones, the pivots, chosen by dynamic programming for the least sum of
 frequencies. One edit leaves a pivot whole, moved by one place at most, so of two
 near words the one whose prefix ends earlier in the order has a pivot in the
-other's prefix: prefixes are indexed by (bigram, length, place), pivots look up
-the lengths and places that one edit can give. Candidates are verified inside the
-join; only near pairs leave it.
+other's prefix, with all that lies before or behind it. Prefixes are indexed by
+bigram, place, length, the letters on its unchanged side and one half of the
+others; pivots look up the places and lengths that one edit can give. Candidates
+are verified inside the join; only near pairs leave it.
 """
 
 from __future__ import annotations
@@ -26,9 +27,7 @@ from .common import release, save
 RUN = "[a-zÀ-ÿ]+"
 LETTERS = 90
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Where a pivot of a word can lie in a near word: change of length, change of place.
-MOVES = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
-_PLACE = "array<struct<gram:int,at:int>>"
+_PLACES = "array<int>"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -66,8 +65,8 @@ def _code(letters: np.ndarray) -> np.ndarray:
     return np.where(letters < 128, letters - 97, letters - 0xC0 + 26)
 
 
-def choose(codes: np.ndarray, rank: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Grams, rank of each prefix's end, prefix flags and pivots of words of one length.
+def choose(codes: np.ndarray, rank: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank of each prefix's end, prefix flags and places of the pivots, of words of one length.
 
     ``codes`` is (words, letters); ``rank`` orders bigrams from rare to frequent,
     ``cost`` is their frequency. Dynamic programming over places: the best single
@@ -84,15 +83,14 @@ def choose(codes: np.ndarray, rank: np.ndarray, cost: np.ndarray) -> tuple[np.nd
     second = np.argmin(two, axis=1)
     places = np.arange(price.shape[1])
     first = np.argmin(np.where(places[None, :] <= second[:, None] - 2, price, np.inf), axis=1)
-    return grams, last, prefix, np.stack((first, second), axis=1)
+    return last, prefix, np.stack((first, second), axis=1)
 
 
-def _places(lists: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """Lists of (gram, place) as an Arrow array."""
-    sizes = np.fromiter((len(x[0]) for x in lists), np.int32, len(lists))
-    flat = [np.concatenate([x[i] for x in lists]).astype(np.int32) if lists else np.zeros(0, np.int32) for i in (0, 1)]
-    inner = pa.StructArray.from_arrays([pa.array(f) for f in flat], ["gram", "at"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), inner)
+def _lists(lists: list[np.ndarray]) -> pa.Array:
+    """Lists of places as an Arrow array."""
+    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+    flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
 
 
 def _run(frequencies: dict[str, int]):
@@ -108,36 +106,45 @@ def _run(frequencies: dict[str, int]):
         for batch in batches:
             words = batch.column(0).to_pylist()
             lengths = np.fromiter(map(len, words), np.int64, len(words))
-            last, mask = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+            last = np.zeros(len(words), np.int32)
             pivots, prefixes = [None] * len(words), [None] * len(words)
             for length in np.unique(lengths):
                 rows = np.flatnonzero(lengths == length)
                 letters = np.frombuffer("".join([words[i] for i in rows]).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(rows), length)
                 codes = _code(letters)
-                grams, ends, prefix, pair = choose(codes, rank, cost)
+                ends, prefix, pair = choose(codes, rank, cost)
                 last[rows] = ends
-                mask[rows] = np.bitwise_or.reduce(np.int64(1) << (codes % 63), axis=1)
                 for k, i in enumerate(rows):
-                    pivots[i] = (grams[k, pair[k]], pair[k])
-                    at = np.flatnonzero(prefix[k])
-                    prefixes[i] = (grams[k, at], at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths.astype(np.int32)), pa.array(last), pa.array(mask), _places(pivots), _places(prefixes)],
-                                             ["word", "n", "size", "last", "mask", "pivots", "prefix"])
+                    pivots[i], prefixes[i] = pair[k], np.flatnonzero(prefix[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths.astype(np.int32)), pa.array(last), _lists(pivots), _lists(prefixes)],
+                                             ["word", "n", "size", "last", "pivots", "prefix"])
 
     return run
 
 
+def _keys(word: Column, at: Column, size: Column, change: int, before: bool) -> list[Column]:
+    """Index keys of the bigram at a place, for words ``change`` letters longer whose edit lies after it (``before``: all up
+    to its end is the same) or before it. Cutting the other side in halves, by its length there, leaves one half the same."""
+    if before:
+        same, start, rest = F.substring(word, F.lit(1), at + 2), at + 2, size - at - 2
+    else:
+        same, start, rest = F.substring(word, at + 1, F.length(word)), F.lit(0), at
+    there = rest + change
+    half = F.floor(there / 2).cast("int")
+    halves = [F.substring(word, start + 1, half), F.substring(word, start + rest - (there - half) + 1, there - half)]
+    return [F.when(there >= 0, F.xxhash64(F.lit(before), F.lit(i), size + change, same, x)) for i, x in enumerate(halves)]
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs (a, b, n_a, n_b), a < b, of near words of (word, n); words have five letters or more, without repeats."""
-    signed = save(words.select("word", "n").mapInArrow(_run(gram_frequencies(words)), f"word string, n long, size int, last int, mask long, pivots {_PLACE}, prefix {_PLACE}"), "spelling-grams")
-    moves = F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("at")) for a, b in MOVES])
-    left = signed.select(F.col("word").alias("w"), F.col("n").alias("n_w"), F.col("last").alias("last_w"), F.col("mask").alias("mask_w"), F.col("size").alias("size_w"), F.explode("pivots").alias("p"))
-    left = left.withColumn("m", F.explode(moves)).select("w", "n_w", "last_w", "mask_w", F.col("p.gram").alias("gram"), (F.col("size_w") + F.col("m.size")).alias("size"), (F.col("p.at") + F.col("m.at")).alias("at"))
-    right = signed.select(F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"), F.col("mask").alias("mask_x"), "size", F.explode("prefix").alias("q"))
-    right = right.select("x", "n_x", "last_x", "mask_x", F.col("q.gram").alias("gram"), "size", F.col("q.at").alias("at"))
-    # one edit changes at most two members of the set of letters
-    near = (F.col("last_w") <= F.col("last_x")) & (F.bit_count(F.col("mask_w").bitwiseXOR(F.col("mask_x"))) <= 2) & (F.col("w") != F.col("x")) & (F.levenshtein("w", "x", 1) == 1)
-    found = left.join(right, (left["gram"] == right["gram"]) & (left["size"] == right["size"]) & (left["at"] == right["at"]) & near)
+    signed = save(words.select("word", "n").mapInArrow(_run(gram_frequencies(words)), f"word string, n long, size int, last int, pivots {_PLACES}, prefix {_PLACES}"), "spelling-grams")
+    word, size, first, second, q = F.col("word"), F.col("size"), F.col("pivots")[0], F.col("pivots")[1], F.col("q")
+    asked = [k for change in (-1, 0, 1) for k in _keys(word, first, size, change, True) + _keys(word, second, size, change, False)]
+    left = signed.select(word.alias("w"), F.col("n").alias("n_w"), F.col("last").alias("last_w"), F.explode(F.array(*asked)).alias("key")).where("key IS NOT NULL")
+    right = signed.select("word", "n", "last", "size", F.explode("prefix").alias("q"))
+    right = right.select(word.alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"), F.explode(F.array(*_keys(word, q, size, 0, True), *_keys(word, q, size, 0, False))).alias("key"))
+    near = (F.col("last_w") <= F.col("last_x")) & (F.col("w") != F.col("x")) & (F.levenshtein("w", "x", 1) == 1)
+    found = left.join(right, (left["key"] == right["key"]) & near)
     low = F.col("w") < F.col("x")
     pairs = found.select(F.least("w", "x").alias("a"), F.greatest("w", "x").alias("b"), F.when(low, F.col("n_w")).otherwise(F.col("n_x")).alias("n_a"), F.when(low, F.col("n_x")).otherwise(F.col("n_w")).alias("n_b"))
     pairs = save(pairs.distinct(), "spelling-pairs")
