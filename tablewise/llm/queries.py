@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, mixing, packing, quality, sharding, spelling, suffix, tokencount, urlfilter, warc
+from . import ann, centroids, jaccard, licenses, mixing, packing, quality, sharding, spelling, suffix, tokencount, urlfilter, warc
 from .common import table
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -55,8 +55,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_nearest_neighbours, op6_warc_round_trip,
-                                   op7_best_fit_packing, op8_jump_sharding, op9_token_counts, op10_suffix_dedup, op11_spelling_variants)}
+                                   op7_best_fit_packing, op8_jump_sharding, op9_token_counts, op10_suffix_dedup, op11_spelling_variants, op12_centroid_clusters, op13_license_scan)}
 
 ORACLES = {
     "op6_warc_round_trip": """
