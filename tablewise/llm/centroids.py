@@ -15,7 +15,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import literal, save
 
 #: Largest magnitude of a scaled component: 64 squared differences stay within 63 bits.
 LARGEST = 1 << 27
@@ -45,7 +45,7 @@ def first_centroids(data: DataFrame, k: int = 8, seed: int = 3) -> list[list[int
 def nearest(q: Column, centroids: list[list[int]]) -> Column:
     """struct(distance, cluster) of the nearest centroid; ties go to the smaller number."""
     def distance(c: list[int]) -> Column:
-        return F.aggregate(F.zip_with(q, F.lit(c).cast("array<bigint>"), lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.aggregate(F.zip_with(q, literal(c, "array<bigint>"), lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda a, b: a + b)
 
     return F.array_min(F.array(*[F.struct(distance(c).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centroids)]))
 
@@ -85,7 +85,7 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, sc
     near = nearest(F.col("q"), centroids)
     out = save(data.select("vec_id", near.alias("near")).select("vec_id", "near.cluster", "near.distance"), "centroid-near")
     sums = {r.cluster: r.s for r in out.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
-    inertia = F.lit([sums.get(i, 0) for i in range(len(centroids))]).cast("array<bigint>")
+    inertia = literal([sums.get(i, 0) for i in range(len(centroids))], "array<bigint>")
     digests = F.lit([hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids])
     return out.select("vec_id", "cluster", "distance", inertia[F.col("cluster")].alias("cluster_inertia"), F.lit(sum(sums.values())).cast("long").alias("inertia"),
                       digests[F.col("cluster")].alias("centroid_sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,11 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def literal(value, kind: str):
+    """A nested constant as one literal of the plan, however many members it has."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def row_hash(*cols):
     """64 hash bits of a row; a null is told from every value."""
     return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])

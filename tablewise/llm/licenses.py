@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import literal
+
 #: Runs of digits, letters and everything beyond ASCII.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,7 +111,7 @@ def _tokens(name: str) -> str:
     out = []
     for w in words:
         if w.startswith("?") and out:
-            out[-1] = f"{out[-1]}(?:  )?{w[1:]}"
+            out[-1] = out[-1] + r"(?:\x20\x20)?" + w[1:]
         else:
             out.append(w)
     return " ".join(out)
@@ -189,12 +191,10 @@ def _gate(text: Column) -> Column:
 
 def detections(words: Column, rules: list[dict]) -> Column:
     """All matches in a worded text: array of struct(start, back, level, rule, stop, label), by start and longest first."""
-    rule = [F.struct(F.lit(r["keyword"]).alias("keyword"), F.lit(r["level"]).alias("level"), F.lit(i).alias("rule"), F.lit(r["label"]).alias("label"), F.lit(r["pattern"]).alias("pattern"))
-            for i, r in enumerate(rules)]
-    by_word: dict[str, list[Column]] = {}
-    for r, c in zip(rules, rule):
-        by_word.setdefault(r["keyword"], []).append(c)
-    groups = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in sorted(by_word.items())])
+    by_word: dict[str, list[dict]] = {}
+    for i, r in enumerate(rules):
+        by_word.setdefault(r["keyword"], []).append({"rule": i, "level": r["level"], "label": r["label"], "pattern": r["pattern"]})
+    groups = literal([{"keyword": k, "rules": v} for k, v in sorted(by_word.items())], "array<struct<keyword:string,rules:array<struct<rule:int,level:int,label:string,pattern:string>>>>")
     tried = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
     found = F.transform(tried, lambda r: F.transform(places(words, r["pattern"]), lambda p: F.struct(
         p["start"].alias("start"), (-p["stop"]).alias("back"), r["level"].alias("level"), r["rule"].alias("rule"), p["stop"].alias("stop"), r["label"].alias("label"))))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, centroids, jaccard, licenses, mixing, packing, quality, sharding, spelling, suffix, tokencount, urlfilter, warc
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -65,14 +66,3 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_nearest_neighbours, op6_warc_round_trip,
                                    op7_best_fit_packing, op8_jump_sharding, op9_token_counts, op10_suffix_dedup, op11_spelling_variants, op12_centroid_clusters, op13_license_scan)}
-
-ORACLES = {
-    "op6_warc_round_trip": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
-        FROM f""",
-}
