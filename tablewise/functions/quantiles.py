@@ -5,34 +5,33 @@ DuckDB ``quantile_cont``: with n non-null values sorted, position
 h = p·(n−1), result = v[floor(h)] + (v[floor(h)+1] − v[floor(h)])·frac(h).
 Infinities are extreme values like any other (NaN after +inf, as Spark sorts).
 
-One path at every size and for any number of groups, a distributed selection
-over a table of targets (group, column, rank):
-
-* Values are compared by their 64 bits as an ordered whole number. A pass cuts
-  the interval of each open target into at most ``buckets`` bins of leading
-  bits, counts them with one partial-aggregated ``groupBy``, and a running sum
-  over the bins of each interval picks the bin holding the rank, all on the
-  executors. Each pass fixes at least log2(``buckets``) of the 64 bits, so the
-  passes are bounded (7 for 1024) whatever the values are.
-* An interval with one distinct value is resolved on the spot, whatever its
-  count (a hot value). Intervals of at most ``leaf`` rows are ranked by one
-  window each.
-* Rows meet the intervals by a join on (group, column): an interval table of at
-  most ``BROADCAST_ROWS`` counted rows is broadcast; with a larger one the join
-  is on (group, column, salt), so that a group holding a third of the rows is
-  spread over ``SALTS`` tasks and counted before the next shuffle.
-
-Grouped targets stay a table, cut by reliable checkpoints between passes; the
-driver sees two counts a pass. Ungrouped targets (columns × probs × 2 rows) go
-through the driver between passes.
+One path at every size, a selection bracketed by a sketch. Each wanted rank has
+an open interval of values and the exact number of rows below it:
+
+* A pass makes a mergeable quantile sketch (``percentile_approx``, rank error
+  rows / ``buckets``) of the rows in the interval and takes two values just below
+  and just above the rank from it. The next pass counts exactly what lies below
+  the lower value, equals it, lies between, and equals the upper value. The
+  counts decide, the sketch only proposes: the rank falls on one of the two
+  values, which settles it whatever its count (a hot value), or in an open
+  interval that holds about 6 / ``buckets`` of the rows. Both proposals leave the
+  interval, so every round shrinks it.
+* An interval of at most ``leaf`` rows is finished by ranking its rows.
+
+10^12 rows take three rounds and the ranking. Columns without groups go through
+wide aggregates (no shuffle of rows) and the driver holds columns × probs × 2
+ranks. With groups, ranks stay a table cut by reliable checkpoints, and rows meet
+it by a join on (group, column): a counted table of at most ``BROADCAST_ROWS`` is
+broadcast; with a larger one equal values are counted first and the join is
+salted by the value's hash, so that neither a hot group nor a hot value lands in
+one task and a recomputed task deals the same salts again.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,105 +42,253 @@ _GROUP = "__g"
 _COL = "__c"
 _VAL = "__v"
 _W = "__w"
-_KEY = "__k"
-_PROBE = [_GROUP, _COL, "klo"]
-_TARGET = [_GROUP, _COL, "n", "rank", "below", "rows", "klo", "khi", "vlo"]
+#: A target of the grouped path: n values, wanted rank, rows below the open interval (lo, hi), rows in it; v once known.
+_TARGET = [_GROUP, _COL, "n", "rank", "below", "rows", "lo", "hi", "v"]
 SALTS = 32
 BROADCAST_ROWS = 10_000
+BUCKETS = 2_000
+GRID = 64
+LEAF = 10_000
 
 
+def _ranks(n: int, probs: list[float]) -> set[int]:
+    return {int(x) for p in probs for x in (math.floor(p * (n - 1)), min(math.ceil(p * (n - 1)), n - 1))}
+
+
+def _interpolate(n: int, value: dict[int, float], probs: list[float]) -> list[float]:
+    out = []
+    for p in probs:
+        h = float(p) * (n - 1)
+        a, b, frac = value[math.floor(h)], value[min(math.ceil(h), n - 1)], h - math.floor(h)
+        if frac == 0 or a == b:
+            out.append(a)
+        else:  # an infinite step: an infinity, or a step beyond the doubles
+            out.append(a + (b - a) * frac if math.isfinite(b - a) else a * (1 - frac) + b * frac)
+    return out
+
+
+def _double(c: str) -> Column:
+    """The column as double, -0.0 as 0.0."""
+    v = q(c).cast("double")
+    return F.when(v == 0, F.lit(0.0)).otherwise(v)
+
+
+def _between(v: Column, lo, hi) -> Column:
+    """v lies in the open interval; None is no bound."""
+    ok = v.isNotNull()
+    if lo is not None:
+        ok = ok & (v > F.lit(lo))
+    if hi is not None:
+        ok = ok & (v < F.lit(hi))
+    return ok
+
+
+def _around(share: float, buckets: int) -> list[float]:
+    """Ranks to ask a sketch for: the wanted one less and plus twice the sketch's error."""
+    return [max(0.0, share - 2 / buckets), min(1.0, share + 2 / buckets)]
+
+
+# --- columns without groups: wide aggregates ------------------------------------------
+class _Open:
+    """A wanted rank of a column and what is known of it."""
+
+    def __init__(self, col: int, rank: int, n: int):
+        self.col, self.rank, self.below, self.rows, self.lo, self.hi, self.value = col, rank, 0, n, None, None, None
+
+    def narrow(self, a: float, b: float, counts: tuple[int, int, int, int]):
+        """With the exact counts below a, at a, between a and b, and at b, of the whole column."""
+        at = 0
+        end = self.below + self.rows
+        for lo, hi, value, n in ((self.lo, a, None, counts[0]), (None, None, a, counts[1]), (a, b, None, counts[2]), (None, None, b, counts[3])):
+            if self.rank < at + n:
+                if value is None:
+                    start = max(at, self.below)
+                    self.below, self.rows, self.lo, self.hi = start, at + n - start, lo, hi
+                self.value = value
+                return
+            at += n
+        self.below, self.rows, self.lo = at, end - at, b
+
+
+def _chunks(items: list, size: int = 60) -> list[list]:
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
+def _ungrouped(df: DataFrame, cols: list[str], probs: list[float], stats: dict | None, buckets: int, leaf: int) -> dict:
+    """Rounds of three wide aggregates: sketch, exact counts, ranking of what is small."""
+    v = [_double(c) for c in cols]
+    wanted: dict[int, list[_Open]] = {}
+    proposals: dict[tuple, list[float]] = {}
+    ask = sorted({x for p in probs for x in _around(p, buckets)})
+    if stats is None:
+        counts = {}
+        for part in _chunks(list(range(len(cols))), 30):  # the first sketch comes with the count
+            row = df.agg(*[F.count(v[i]).alias(f"n{i}") for i in part], *[F.percentile_approx(v[i], ask, buckets).alias(f"s{i}") for i in part]).first()
+            for i in part:
+                counts[i] = row[f"n{i}"]
+                if row[f"s{i}"]:
+                    proposals[i] = dict(zip(ask, row[f"s{i}"]))
+    else:
+        counts = {i: stats[c][0] for i, c in enumerate(cols)}
+    for i, n in counts.items():
+        wanted[i] = [_Open(i, r, n) for r in sorted(_ranks(n, probs))] if n else []
+    first = {i: dict(p) for i, p in proposals.items()}
+    while True:
+        wide = [t for ts in wanted.values() for t in ts if t.value is None and t.rows > leaf]
+        if not wide:
+            break
+        # two values around each rank: from the first sketch, or from one of the interval
+        around: dict[tuple, tuple[float, float]] = {}
+        todo = []
+        for t in wide:
+            key = (t.col, t.rank)
+            if t.col in first and t.lo is None and t.hi is None:
+                p = t.rank / max(counts[t.col] - 1, 1)
+                below, above = [x for x in ask if x <= p - 1 / buckets], [x for x in ask if x >= p + 1 / buckets]
+                around[key] = (first[t.col][max(below, default=ask[0])], first[t.col][min(above, default=ask[-1])])
+            else:
+                todo.append(t)
+        for part in _chunks(todo):
+            row = df.agg(*[F.percentile_approx(F.when(_between(v[t.col], t.lo, t.hi), v[t.col]), _around((t.rank - t.below) / max(t.rows - 1, 1), buckets), buckets).alias(f"s{k}")
+                           for k, t in enumerate(part)]).first()
+            around |= {(t.col, t.rank): tuple(row[f"s{k}"]) for k, t in enumerate(part)}
+        first = {}
+        pairs = sorted({(t.col, *around[t.col, t.rank]) for t in wide})
+        seen = {}
+        for part in _chunks(pairs):
+            aggs = []
+            for k, (i, a, b) in enumerate(part):
+                aggs += [F.count_if(v[i] < F.lit(a)).alias(f"l{k}"), F.count_if(v[i] == F.lit(a)).alias(f"a{k}"),
+                         F.count_if((v[i] > F.lit(a)) & (v[i] < F.lit(b))).alias(f"m{k}"), F.count_if(v[i] == F.lit(b)).alias(f"b{k}")]
+            row = df.agg(*aggs).first()
+            seen |= {pair: (row[f"l{k}"], row[f"a{k}"], row[f"m{k}"], row[f"b{k}"] if pair[1] != pair[2] else 0) for k, pair in enumerate(part)}
+        for t in wide:
+            a, b = around[t.col, t.rank]
+            t.narrow(a, b, seen[t.col, a, b])
+    left = [t for ts in wanted.values() for t in ts if t.value is None]
+    spans = sorted({(t.col, t.lo, t.hi) for t in left}, key=str)
+    for part in _chunks(spans):
+        aggs = []
+        for k, (i, lo, hi) in enumerate(part):
+            ranked = F.sort_array(F.collect_list(F.when(_between(v[i], lo, hi), v[i])))  # at most leaf rows
+            places = sorted({t.rank - t.below for t in left if (t.col, t.lo, t.hi) == (i, lo, hi)})
+            aggs.append(F.array(*[F.get(ranked, F.lit(p)) for p in places]).alias(f"r{k}"))
+        row = df.agg(*aggs).first()
+        for k, span in enumerate(part):
+            mine = [t for t in left if (t.col, t.lo, t.hi) == span]
+            value = dict(zip(sorted({t.rank - t.below for t in mine}), row[f"r{k}"]))
+            for t in mine:
+                t.value = value[t.rank - t.below]
+    return {("", c): _interpolate(counts[i], {t.rank: t.value for t in wanted[i]}, probs) if counts[i] else [None] * len(probs) for i, c in enumerate(cols)}
+
+
+# --- targets as a table: groups, or values with counts -----------------------------------
 def _long_form(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
     """(group, column index, double value, weight 1) rows; null values stay, null groups don't."""
     g = q(by).cast("string") if by else F.lit("")
-    arr = F.array(*[F.struct(F.lit(i).alias(_COL), q(c).cast("double").alias(_VAL))
-                    for i, c in enumerate(cols)])
+    arr = F.array(*[F.struct(F.lit(i).alias(_COL), _double(c).alias(_VAL)) for i, c in enumerate(cols)])
     src = df.where(q(by).isNotNull()) if by else df
     return src.select(g.alias(_GROUP), F.inline(arr)).withColumn(_W, F.lit(1).cast("bigint"))
 
 
-def _keyed(long: DataFrame) -> DataFrame:
-    """Adds the value's bits as a whole number of the same order (0.0 and -0.0 alike)."""
-    v = long.where(F.col(_VAL).isNotNull()).withColumn(_VAL, F.when(F.col(_VAL) == 0, 0.0).otherwise(F.col(_VAL)))
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(_VAL)).cast("bigint")
-    return v.withColumn(_KEY, bits).withColumn(
-        _KEY, F.when(F.col(_KEY) >= 0, F.col(_KEY)).otherwise(F.col(_KEY).bitwiseXOR(F.lit(2 ** 63 - 1))))
-
-
-def _key_of(v: float) -> int:
-    v = math.nan if v != v else (v or 0.0)
-    k = struct.unpack(">q", struct.pack(">d", v))[0]
-    return k if k >= 0 else k ^ (2 ** 63 - 1)
-
-
 def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with a table of few rows a key, counted first: a small one
-    is broadcast, for a larger one a hot key's rows are spread over SALTS tasks."""
+    """Inner join of ``rows`` with a table of few rows a key, counted first: a small one is
+    broadcast, for a larger one a hot key's rows are spread over SALTS tasks by a hash of the row."""
     if few.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(few), keys)
-    left = rows.withColumn("__salt", (F.rand(17) * SALTS).cast("int"))
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*[q(c) for c in rows.columns]), F.lit(SALTS)).cast("int"))
     right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
-def _inside(data: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows of ``data`` inside the targets' intervals; targets sharing an interval meet a row once."""
-    probes = targets.select(*_PROBE, "khi").distinct()
-    return join_few(data, probes, [_GROUP, _COL]).where(F.col(_KEY).between(F.col("klo"), F.col("khi")))
-
-
-def _pick(counts: DataFrame, targets: DataFrame, order: str) -> DataFrame:
-    """The bin of each target: running sum of the counts of its interval, at most buckets (leaf) rows each."""
-    upto = Window.partitionBy(*_PROBE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = counts.withColumn("upto", F.sum("b_n").over(upto))
-    t = targets.drop("rows", "khi", "vlo")
-    return (t.join(bins, _PROBE)
-            .where((F.col("below") + F.col("upto") > F.col("rank"))
-                   & (F.col("below") + F.col("upto") - F.col("b_n") <= F.col("rank")))
-            .select(_GROUP, _COL, "n", "rank", (F.col("below") + F.col("upto") - F.col("b_n")).alias("below"),
-                    F.col("b_rows").alias("rows"), F.col("b_lo").alias("klo"), F.col("b_hi").alias("khi"),
-                    F.col("b_v").alias("vlo")))
-
-
-def _bin_aggs():
-    return [F.sum(_W).alias("b_n"), F.count(F.lit(1)).alias("b_rows"), F.min(_KEY).alias("b_lo"),
-            F.max(_KEY).alias("b_hi"), F.min(_VAL).alias("b_v")]
+def _meet(data: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of ``data`` with the rows of ``few`` of their group and column. Before a join by key equal
+    values are counted, so a hot value is one row a map task."""
+    if few.count() > BROADCAST_ROWS:
+        data = data.groupBy(_GROUP, _COL, _VAL).agg(F.sum(_W).alias(_W))
+    return join_few(data, few, [_GROUP, _COL])
+
+
+def _within() -> Column:
+    v = F.col(_VAL)
+    return v.isNotNull() & (F.col("lo").isNull() | (v > F.col("lo"))) & (F.col("hi").isNull() | (v < F.col("hi")))
+
+
+def _propose(data: DataFrame, wide: DataFrame, buckets: int) -> DataFrame:
+    """A grid of values of each open interval from a sketch of its rows. Ranks may count weights, which
+    the sketch does not know: the exact counts choose the place on the grid."""
+    n = min(GRID, buckets)
+    spans = wide.select(_GROUP, _COL, "lo", "hi").distinct()
+    grid = F.percentile_approx(_VAL, [i / n for i in range(n + 1)], buckets)
+    return _meet(data, spans).where(_within()).groupBy(_GROUP, _COL, "lo", "hi").agg(F.array_distinct(grid).alias("cuts"))
+
+
+def _narrow(data: DataFrame, t: DataFrame, buckets: int) -> DataFrame:
+    """One round: cuts of each open interval, exact counts at and between them, and the piece of each rank."""
+    cuts = materialize(_propose(data, t, buckets))
+    rows = _meet(data, cuts).where(_within())
+    below = F.size(F.filter("cuts", lambda c: c < F.col(_VAL)))
+    piece = (2 * below + F.array_contains("cuts", F.col(_VAL)).cast("int")).alias("piece")  # even: between cuts; odd: at cut (piece - 1) / 2
+    counts = rows.select(_GROUP, _COL, "lo", "hi", _W, piece).groupBy(_GROUP, _COL, "lo", "hi", "piece").agg(F.sum(_W).alias("b_n"), F.count(F.lit(1)).alias("b_rows"))
+    upto = Window.partitionBy(_GROUP, _COL, "lo", "hi").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("upto", F.sum("b_n").over(upto)).alias("k")
+    cuts, t = cuts.alias("c"), t.alias("t")
+    keys = [_GROUP, _COL, "lo", "hi"]
+    hit = t.join(counts, _cond("t", "k", keys) & (F.col("t.below") + F.col("k.upto") > F.col("t.rank")) & (F.col("t.below") + F.col("k.upto") - F.col("k.b_n") <= F.col("t.rank")))
+    hit = hit.join(cuts, _cond("t", "c", keys))
+    at = F.floor(F.col("k.piece") / 2).cast("int")  # cuts below the piece
+    odd = F.col("k.piece") % 2 == 1
+    return hit.select(F.col(f"t.{_GROUP}"), F.col(f"t.{_COL}"), "t.n", "t.rank", (F.col("t.below") + F.col("k.upto") - F.col("k.b_n")).alias("below"), F.col("k.b_rows").alias("rows"),
+                      F.coalesce(F.get("c.cuts", at - 1), F.col("t.lo")).alias("lo"), F.coalesce(F.get("c.cuts", at), F.col("t.hi")).alias("hi"),
+                      F.when(odd, F.get("c.cuts", at)).alias("v"))
+
+
+def _cond(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        x, y = F.col(f"{a}.{k}"), F.col(f"{b}.{k}")
+        out = out & (x == y if k in (_GROUP, _COL) else x.eqNullSafe(y))
+    return out
+
+
+def _finish(data: DataFrame, t: DataFrame) -> DataFrame:
+    """Ranks of intervals of at most leaf rows: a running sum over the values of each."""
+    keys = [_GROUP, _COL, "lo", "hi"]
+    rows = _meet(data, t.select(*keys).distinct()).where(_within()).groupBy(*keys, _VAL).agg(F.sum(_W).alias("b_n"))
+    upto = Window.partitionBy(*keys).orderBy(_VAL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("b_n").over(upto)).alias("k")
+    t = t.alias("t")
+    hit = t.join(rows, _cond("t", "k", keys) & (F.col("t.below") + F.col("k.upto") > F.col("t.rank")) & (F.col("t.below") + F.col("k.upto") - F.col("k.b_n") <= F.col("t.rank")))
+    return hit.select(*[F.col(f"t.{c}") for c in _TARGET[:-1]], F.col(f"k.{_VAL}").alias("v"))
 
 
 def _targets(stats: DataFrame, probs: list[float]) -> DataFrame:
     """One row per rank needed (k and k+1 per prob) of each (group, column) with values."""
     h = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     ranks = F.array(*[F.floor(x) for x in h], *[F.least(F.ceil(x), F.col("n") - 1) for x in h])
-    return (stats.where(F.col("n") > 0)
-            .withColumn("rank", F.explode(F.array_distinct(ranks))).withColumn("below", F.lit(0).cast("bigint"))
-            .select(*_TARGET))
-
-
-def _select(data: DataFrame, targets: DataFrame, buckets: int, leaf: int, grouped: bool) -> DataFrame:
-    """Resolves every target: rows of (group, column, n, rank, value in vlo)."""
-    bits = max(1, int(math.log2(max(2, buckets))))
-    spark = data.sparkSession
-
-    def settle(t):
-        return materialize(t) if grouped else spark.createDataFrame(t.collect(), t.schema)
-
-    t = settle(targets)
-    split = F.col("klo") < F.col("khi")
-    wide = split & (F.col("rows") > leaf)
-    while not t.where(wide).isEmpty():
-        free = F.greatest(F.lit(0), F.length(F.bin(F.col("klo").bitwiseXOR(F.col("khi")))) - bits)
-        cand = _inside(data, t.where(wide)).withColumn("__s", free)
-        counts = cand.groupBy(*_PROBE, F.expr(f"shiftright({_KEY}, __s)").alias("b")).agg(*_bin_aggs())
-        t = settle(_pick(counts, t.where(wide), "b").unionByName(t.where(~wide)))
-    if not t.where(split).isEmpty():
-        counts = _inside(data, t.where(split)).groupBy(*_PROBE, F.col(_KEY).alias("b")).agg(*_bin_aggs())
-        t = settle(_pick(counts, t.where(split), "b").unionByName(t.where(~split)))
-    return t
-
-
-def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int, leaf: int, grouped: bool) -> DataFrame:
+    none = F.lit(None).cast("double")
+    return (stats.where(F.col("n") > 0).withColumn("rank", F.explode(F.array_distinct(ranks))).withColumn("below", F.lit(0).cast("bigint"))
+            .select(_GROUP, _COL, "n", "rank", "below", "rows", none.alias("lo"), none.alias("hi"), none.alias("v")))
+
+
+def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int, leaf: int) -> DataFrame:
     """(group, column index, qs: value per prob) for each row of ``stats``; qs null without values."""
-    t = _select(data, _targets(stats, probs), buckets, leaf, grouped)
-    m = t.groupBy(_GROUP, _COL, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "vlo"))).alias("m"))
+    t = _targets(stats, probs)
+    done = []
+    while True:
+        open_ = F.col("v").isNull()
+        done.append(t.where(~open_))
+        small, wide = t.where(open_ & (F.col("rows") <= leaf)), t.where(open_ & (F.col("rows") > leaf))
+        n = t.agg(F.count_if(open_ & (F.col("rows") <= leaf)).alias("small"), F.count_if(open_ & (F.col("rows") > leaf)).alias("wide")).first()
+        if n["small"]:
+            done.append(materialize(_finish(data, small)))
+        if not n["wide"]:
+            break
+        t = materialize(_narrow(data, wide, buckets))
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    m = found.groupBy(_GROUP, _COL, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))
     out = []
     for p in probs:
         h = F.lit(float(p)) * (F.col("n") - 1)
@@ -155,42 +302,35 @@ def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int,
     return m.select(_GROUP, _COL, F.array(*out).alias("qs")).unionByName(none)
 
 
-def _stats(long: DataFrame, keyed: DataFrame) -> DataFrame:
-    seen = keyed.groupBy(_GROUP, _COL).agg(F.sum(_W).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(_KEY).alias("klo"),
-                                           F.max(_KEY).alias("khi"), F.min(_VAL).alias("vlo"))
-    names = long.select(_GROUP, _COL).distinct()
-    return names.join(seen, [_GROUP, _COL], "left").fillna(0, ["n", "rows"])
-
-
-def _as_dict(table: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    return {(r[_GROUP], cols[r[_COL]]): r["qs"] if r["qs"] is not None else [None] * len(probs) for r in table.collect()}
+def _stats(long: DataFrame) -> DataFrame:
+    given = F.col(_VAL).isNotNull()
+    return long.groupBy(_GROUP, _COL).agg(F.coalesce(F.sum(F.when(given, F.col(_W))), F.lit(0)).alias("n"), F.count_if(given).alias("rows"))
 
 
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: str, buckets: int = 1024,
-                   leaf: int = 20_000) -> DataFrame:
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: str, buckets: int = BUCKETS,
+                   leaf: int = LEAF) -> DataFrame:
     """Exact quantiles per group as a table: (group, column, qs), one row per group and column.
 
     ``group`` is the string form of ``by``, without a limit on the number of
     groups; ``qs`` holds a value per prob, or is null without non-null values.
     """
     long = _long_form(df, cols, by)
-    data = _keyed(long)
-    stats = materialize(_stats(long, data))
+    stats = materialize(_stats(long))
     names = F.array(*[F.lit(c) for c in cols])
-    t = _table(data, stats, probs, buckets, leaf, True)
+    t = _table(long.where(F.col(_VAL).isNotNull()), stats, probs, buckets, leaf)
     return t.select(F.col(_GROUP).alias("group"), F.get(names, F.col(_COL)).alias("column"), "qs")
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
-              method: str = "auto", buckets: int = 1024, leaf: int = 20_000, stats: dict | None = None) -> dict:
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None, method: str = "auto",
+              buckets: int = BUCKETS, leaf: int = LEAF, stats: dict | None = None) -> dict:
     """Exact quantiles. Returns {(group, column): [value per prob]}.
 
     ``group`` is the string form of ``by`` (or "" when ungrouped). Columns or
     groups with no non-null values map to a list of ``None``. ``stats`` —
     {column: (non-null count, min, max)} already known to the caller (ungrouped
-    only) — saves the statistics job. With ``by`` the dict has an entry per
-    group: use :func:`quantile_table` where they may be many. ``method="small"``
-    asks for Spark's own ``percentile`` (a value map per group, for comparison).
+    only) — saves counting. With ``by`` the dict has an entry per group: use
+    :func:`quantile_table` where they may be many. ``method="small"`` asks for
+    Spark's own ``percentile`` (a value map per group, for comparison).
     """
     cols = list(cols)
     if not cols:
@@ -202,27 +342,19 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
     if by:
         rows = quantile_table(df, cols, probs, by, buckets, leaf).collect()
         return {(r["group"], r["column"]): r["qs"] if r["qs"] is not None else [None] * len(probs) for r in rows}
-    long = _long_form(df, cols, None)
-    data = _keyed(long)
-    if stats is None:
-        known = _stats(long, data).collect()
-    else:
-        known = [("", i, n, n, _key_of(float(lo)), _key_of(float(hi)), float(lo)) for i, c in enumerate(cols)
-                 for n, lo, hi in [stats[c]] if n]
-    return _ungrouped(data, known, cols, probs, buckets, leaf)
+    return _ungrouped(df, cols, probs, stats, buckets, leaf)
 
 
-def _ungrouped(data: DataFrame, known: list, cols: list[str], probs: list[float], buckets: int, leaf: int) -> dict:
-    st = data.sparkSession.createDataFrame(known, f"{_GROUP} string, {_COL} int, n long, rows long, klo long, khi long, vlo double")
-    return {("", c): [None] * len(probs) for c in cols} | _as_dict(_table(data, st, probs, buckets, leaf, False), cols, probs)
+def _as_dict(table: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    return {(r[_GROUP], cols[r[_COL]]): r["qs"] if r["qs"] is not None else [None] * len(probs) for r in table.collect()}
 
 
 def quantiles_from_counts(freq: DataFrame, cols: list[str], probs: list[float], column: str = "column",
                           value: str = "num_value", weight: str = "count", method: str = "auto",
-                          buckets: int = 1024, leaf: int = 20_000) -> dict:
+                          buckets: int = BUCKETS, leaf: int = LEAF) -> dict:
     """Exact quantiles from a (column, value, count) frequency table.
 
-    Same semantics and path as :func:`quantiles` (ranks count the weights).
+    Same semantics as :func:`quantiles` (ranks count the weights).
     Returns {("", column): [values]}.
     """
     cols = list(cols)
@@ -234,10 +366,9 @@ def quantiles_from_counts(freq: DataFrame, cols: list[str], probs: list[float],
         rows = src.groupBy(column).agg(F.percentile(F.col(value), arr, F.col(weight)).alias("p")).collect()
         return {("", c): [None] * len(probs) for c in cols} | {("", r[column]): list(r["p"]) for r in rows}
     at = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col(column)).cast("int") - 1
-    long = src.select(F.lit("").alias(_GROUP), at.alias(_COL), F.col(value).cast("double").alias(_VAL),
-                      F.col(weight).cast("bigint").alias(_W))
-    data = _keyed(long)
-    return _ungrouped(data, _stats(long, data).collect(), cols, probs, buckets, leaf)
+    v = F.col(value).cast("double")
+    long = src.select(F.lit("").alias(_GROUP), at.alias(_COL), F.when(v == 0, F.lit(0.0)).otherwise(v).alias(_VAL), F.col(weight).cast("bigint").alias(_W))
+    return {("", c): [None] * len(probs) for c in cols} | _as_dict(_table(long, materialize(_stats(long)), probs, buckets, leaf), cols, probs)
 
 
 def quantile_frame(spark, result: dict, probs: list[float], group_name: str | None = None) -> DataFrame:

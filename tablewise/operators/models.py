@@ -10,21 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.exprs import q
 from tablewise.operators import metrics as MT
+from tablewise.operators.boosting import BoostedTrees
 from tablewise.operators import prep as PR
 from tablewise.operators.schema import detect_problem_type
-from tablewise.session import fit_parallelism, tree_memory_mb
+from tablewise.session import fit_parallelism
 
 # Candidate names in fitting order (ties go to the earlier one).
 CLASSIFIERS = ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
@@ -44,8 +44,13 @@ class ModelSettings:
     # reliable checkpoint in the session's checkpoint folder (executor loss
     # then costs n iterations, not the whole fit).
     checkpoint_every: int = 10
-    # Split-statistics budget per task for tree learners (None: sized from the session).
-    tree_memory_mb: int | None = None
+    boost_bins: int = 256
+    # Split-statistics budget per task for forests; a level with more takes several passes.
+    tree_memory_mb: int = 64
+
+
+def _boosted(objective: str, s: ModelSettings, classes: int = 2) -> BoostedTrees:
+    return BoostedTrees(objective, classes, rounds=s.boost_rounds, depth=s.boost_depth, step=s.boost_step, bins=s.boost_bins, checkpoint_every=s.checkpoint_every)
 
 
 def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
@@ -57,11 +62,9 @@ def classifier(name: str, n_train: int, n_classes: int, s: ModelSettings):
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=s.trees, featureSubsetStrategy="sqrt", maxDepth=s.forest_depth,
                                       seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every,
-                                      maxMemoryInMB=s.tree_memory_mb or 256)
+                                      maxMemoryInMB=s.tree_memory_mb)
     if name == "Gradient Boosted Trees":
-        gbt = GBTClassifier(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
-                            checkpointInterval=s.checkpoint_every, maxMemoryInMB=s.tree_memory_mb or 256)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
+        return _boosted("logistic" if n_classes <= 2 else "softmax", s, n_classes)
     raise ValueError(name)
 
 
@@ -72,10 +75,9 @@ def regressor(name: str, s: ModelSettings):
     if name == "Random Forest Regressor":
         return RandomForestRegressor(numTrees=s.trees, featureSubsetStrategy="all", maxDepth=s.forest_depth,
                                      seed=s.seed, cacheNodeIds=True, checkpointInterval=s.checkpoint_every,
-                                     maxMemoryInMB=s.tree_memory_mb or 256)
+                                     maxMemoryInMB=s.tree_memory_mb)
     if name == "Gradient Boosted Trees Regressor":
-        return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_step, seed=s.seed,
-                            checkpointInterval=s.checkpoint_every, maxMemoryInMB=s.tree_memory_mb or 256)
+        return _boosted("squared", s)
     raise ValueError(name)
 
 
@@ -167,9 +169,6 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
                      candidates: list[str] | None = None, parallel: int = 3) -> SupervisedRun:
     """M1–M9 + M10–M15 + M19–M25 for one target."""
     s = settings or ModelSettings()
-    if s.tree_memory_mb is None:
-        from dataclasses import replace
-        s = replace(s, tree_memory_mb=tree_memory_mb(df.sparkSession))
     problem = detect_problem_type(df, target)
     if problem == "clustering":
         raise ValueError("train_supervised needs a target column")
