@@ -20,7 +20,7 @@ an open interval of values and the exact number of rows below it:
 
 10^12 rows take three rounds and the ranking. Columns without groups go through
 wide aggregates (no shuffle of rows) and the driver holds columns × probs × 2
-ranks. With groups, ranks stay a table cut by reliable checkpoints, and rows meet
+ranks. With groups, ranks stay a table written to the shared folder between passes, and rows meet
 it by a join on (group, column): a counted table of at most ``BROADCAST_ROWS`` is
 broadcast; with a larger one equal values are counted first and the join is
 salted by the value's hash, so that neither a hot group nor a hot value lands in
@@ -30,13 +30,14 @@ one task and a recomputed task deals the same salts again.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.exprs import q
-from tablewise.session import materialize
+from tablewise.session import scratch_path
 
 _GROUP = "__g"
 _COL = "__c"
@@ -73,19 +74,20 @@ def _double(c: str) -> Column:
     return F.when(v == 0, F.lit(0.0)).otherwise(v)
 
 
-def _between(v: Column, lo, hi) -> Column:
-    """v lies in the open interval; None is no bound."""
+def _between(v: Column, lo, hi, closed: bool = False) -> Column:
+    """v lies in the interval, open unless ``closed``; None is no bound."""
     ok = v.isNotNull()
     if lo is not None:
-        ok = ok & (v > F.lit(lo))
+        ok = ok & ((v >= F.lit(lo)) if closed else (v > F.lit(lo)))
     if hi is not None:
-        ok = ok & (v < F.lit(hi))
+        ok = ok & ((v <= F.lit(hi)) if closed else (v < F.lit(hi)))
     return ok
 
 
 def _around(share: float, buckets: int) -> list[float]:
-    """Ranks to ask a sketch for: the wanted one less and plus twice the sketch's error."""
-    return [max(0.0, share - 2 / buckets), min(1.0, share + 2 / buckets)]
+    """Ranks to ask a sketch for: the wanted one less and plus more than the sketch's error."""
+    # on a grid, so that neighbouring ranks ask for the same values
+    return [max(0.0, math.floor(share * buckets - 1.5) / buckets), min(1.0, math.ceil(share * buckets + 1.5) / buckets)]
 
 
 # --- columns without groups: wide aggregates ------------------------------------------
@@ -93,21 +95,28 @@ class _Open:
     """A wanted rank of a column and what is known of it."""
 
     def __init__(self, col: int, rank: int, n: int):
-        self.col, self.rank, self.below, self.rows, self.lo, self.hi, self.value = col, rank, 0, n, None, None, None
+        self.col, self.rank, self.below, self.rows, self.lo, self.hi, self.closed, self.value = col, rank, 0, n, None, None, False, None
 
-    def narrow(self, a: float, b: float, counts: tuple[int, int, int, int]):
-        """With the exact counts below a, at a, between a and b, and at b, of the whole column."""
-        at = 0
+    @property
+    def share(self) -> float:
+        """The rank as a share of the rows of the open interval."""
+        return (self.rank - self.below) / max(self.rows - 1, 1)
+
+    def narrow(self, a: float, b: float, below_a: int, upto_b: int, upto_a: int | None, below_b: int | None):
+        """With exact counts of the whole column: rows below a and up to b, and for a long bracket up to a and below b."""
         end = self.below + self.rows
-        for lo, hi, value, n in ((self.lo, a, None, counts[0]), (None, None, a, counts[1]), (a, b, None, counts[2]), (None, None, b, counts[3])):
-            if self.rank < at + n:
-                if value is None:
-                    start = max(at, self.below)
-                    self.below, self.rows, self.lo, self.hi = start, at + n - start, lo, hi
-                self.value = value
-                return
-            at += n
-        self.below, self.rows, self.lo = at, end - at, b
+        if self.rank < below_a:
+            self.rows, self.hi = below_a - self.below, a
+        elif self.rank >= upto_b:
+            self.below, self.rows, self.lo = upto_b, end - upto_b, b
+        elif upto_a is None:
+            self.below, self.rows, self.lo, self.hi, self.closed = below_a, upto_b - below_a, a, b, True
+        elif self.rank < upto_a:
+            self.value = a
+        elif self.rank >= below_b:
+            self.value = b
+        else:
+            self.below, self.rows, self.lo, self.hi = upto_a, below_b - upto_a, a, b
 
 
 def _chunks(items: list, size: int = 60) -> list[list]:
@@ -118,7 +127,7 @@ def _ungrouped(df: DataFrame, cols: list[str], probs: list[float], stats: dict |
     """Rounds of three wide aggregates: sketch, exact counts, ranking of what is small."""
     v = [_double(c) for c in cols]
     wanted: dict[int, list[_Open]] = {}
-    proposals: dict[tuple, list[float]] = {}
+    proposals: dict[tuple, dict[float, float]] = {}  # (column, lo, hi) -> share -> value of the sketch
     ask = sorted({x for p in probs for x in _around(p, buckets)})
     if stats is None:
         counts = {}
@@ -127,62 +136,75 @@ def _ungrouped(df: DataFrame, cols: list[str], probs: list[float], stats: dict |
             for i in part:
                 counts[i] = row[f"n{i}"]
                 if row[f"s{i}"]:
-                    proposals[i] = dict(zip(ask, row[f"s{i}"]))
+                    proposals[i, None, None] = dict(zip(ask, row[f"s{i}"]))
     else:
         counts = {i: stats[c][0] for i, c in enumerate(cols)}
     for i, n in counts.items():
         wanted[i] = [_Open(i, r, n) for r in sorted(_ranks(n, probs))] if n else []
-    first = {i: dict(p) for i, p in proposals.items()}
     while True:
         wide = [t for ts in wanted.values() for t in ts if t.value is None and t.rows > leaf]
         if not wide:
             break
-        # two values around each rank: from the first sketch, or from one of the interval
-        around: dict[tuple, tuple[float, float]] = {}
-        todo = []
+        # two values around each rank, from one sketch of its interval (the first one came with the counts)
+        shares: dict[tuple, set] = {}
+        for t in wide:
+            shares.setdefault((t.col, t.lo, t.hi), set()).update(_around(t.share, buckets))
+        sketched = {k: proposals[k] for k in shares if k in proposals}
+        for part in _chunks([k for k in shares if k not in proposals], 30):
+            asked = [sorted(shares[k]) for k in part]
+            row = df.agg(*[F.percentile_approx(F.when(_between(v[i], lo, hi), v[i]), x, buckets).alias(f"s{j}") for j, ((i, lo, hi), x) in enumerate(zip(part, asked))]).first()
+            sketched |= {k: dict(zip(x, row[f"s{j}"])) for j, (k, x) in enumerate(zip(part, asked))}
+        around = {}
         for t in wide:
-            key = (t.col, t.rank)
-            if t.col in first and t.lo is None and t.hi is None:
-                p = t.rank / max(counts[t.col] - 1, 1)
-                below, above = [x for x in ask if x <= p - 1 / buckets], [x for x in ask if x >= p + 1 / buckets]
-                around[key] = (first[t.col][max(below, default=ask[0])], first[t.col][min(above, default=ask[-1])])
-            else:
-                todo.append(t)
-        for part in _chunks(todo):
-            row = df.agg(*[F.percentile_approx(F.when(_between(v[t.col], t.lo, t.hi), v[t.col]), _around((t.rank - t.below) / max(t.rows - 1, 1), buckets), buckets).alias(f"s{k}")
-                           for k, t in enumerate(part)]).first()
-            around |= {(t.col, t.rank): tuple(row[f"s{k}"]) for k, t in enumerate(part)}
-        first = {}
+            found = sketched[t.col, t.lo, t.hi]
+            low, high = [x for x in found if x <= t.share - 1 / buckets], [x for x in found if x >= t.share + 1 / buckets]
+            around[t.col, t.rank] = (found[max(low, default=min(found))], found[min(high, default=max(found))])
         pairs = sorted({(t.col, *around[t.col, t.rank]) for t in wide})
         seen = {}
         for part in _chunks(pairs):
             aggs = []
             for k, (i, a, b) in enumerate(part):
-                aggs += [F.count_if(v[i] < F.lit(a)).alias(f"l{k}"), F.count_if(v[i] == F.lit(a)).alias(f"a{k}"),
-                         F.count_if((v[i] > F.lit(a)) & (v[i] < F.lit(b))).alias(f"m{k}"), F.count_if(v[i] == F.lit(b)).alias(f"b{k}")]
+                aggs += [F.count_if(v[i] < F.lit(a)).alias(f"l{k}"), F.count_if(v[i] <= F.lit(b)).alias(f"b{k}")]
             row = df.agg(*aggs).first()
-            seen |= {pair: (row[f"l{k}"], row[f"a{k}"], row[f"m{k}"], row[f"b{k}"] if pair[1] != pair[2] else 0) for k, pair in enumerate(part)}
+            seen |= {pair: (row[f"l{k}"], row[f"b{k}"]) for k, pair in enumerate(part)}
+        # a bracket with more rows than a leaf holds a hot value, or is long: count at its ends too
+        long = [(i, a, b) for (i, a, b), (x, y) in seen.items() if y - x > leaf]
+        ends = {}
+        for part in _chunks(long):
+            row = df.agg(*[F.count_if(v[i] <= F.lit(a)).alias(f"a{k}") for k, (i, a, b) in enumerate(part)],
+                         *[F.count_if(v[i] < F.lit(b)).alias(f"m{k}") for k, (i, a, b) in enumerate(part)]).first()
+            ends |= {pair: (row[f"a{k}"], row[f"m{k}"]) for k, pair in enumerate(part)}
         for t in wide:
             a, b = around[t.col, t.rank]
-            t.narrow(a, b, seen[t.col, a, b])
+            t.narrow(a, b, *seen[t.col, a, b], *ends.get((t.col, a, b), (None, None)))
     left = [t for ts in wanted.values() for t in ts if t.value is None]
-    spans = sorted({(t.col, t.lo, t.hi) for t in left}, key=str)
-    for part in _chunks(spans):
+    spans: dict[tuple, list[_Open]] = {}
+    for t in left:
+        spans.setdefault((t.col, t.lo, t.hi, t.closed), []).append(t)
+    for part in _chunks(list(spans), 30):
+        inside = [_between(v[i], lo, hi, closed) for i, lo, hi, closed in part]
+        some = inside[0]
+        for x in inside[1:]:
+            some = some | x
         aggs = []
-        for k, (i, lo, hi) in enumerate(part):
-            ranked = F.sort_array(F.collect_list(F.when(_between(v[i], lo, hi), v[i])))  # at most leaf rows
-            places = sorted({t.rank - t.below for t in left if (t.col, t.lo, t.hi) == (i, lo, hi)})
-            aggs.append(F.array(*[F.get(ranked, F.lit(p)) for p in places]).alias(f"r{k}"))
-        row = df.agg(*aggs).first()
+        for k, ((i, *_), ok) in enumerate(zip(part, inside)):
+            ranked = F.sort_array(F.collect_list(F.when(ok, v[i])))  # at most leaf rows
+            aggs.append(F.array(*[F.get(ranked, F.lit(t.rank - t.below)) for t in spans[part[k]]]).alias(f"r{k}"))
+        row = df.where(some).agg(*aggs).first()
         for k, span in enumerate(part):
-            mine = [t for t in left if (t.col, t.lo, t.hi) == span]
-            value = dict(zip(sorted({t.rank - t.below for t in mine}), row[f"r{k}"]))
-            for t in mine:
-                t.value = value[t.rank - t.below]
+            for t, value in zip(spans[span], row[f"r{k}"]):
+                t.value = value
     return {("", c): _interpolate(counts[i], {t.rank: t.value for t in wanted[i]}, probs) if counts[i] else [None] * len(probs) for i, c in enumerate(cols)}
 
 
 # --- targets as a table: groups, or values with counts -----------------------------------
+def _settle(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: computed once, and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, f"quantiles-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _long_form(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
     """(group, column index, double value, weight 1) rows; null values stay, null groups don't."""
     g = q(by).cast("string") if by else F.lit("")
@@ -223,9 +245,36 @@ def _propose(data: DataFrame, wide: DataFrame, buckets: int) -> DataFrame:
     return _meet(data, spans).where(_within()).groupBy(_GROUP, _COL, "lo", "hi").agg(F.array_distinct(grid).alias("cuts"))
 
 
+def _bracket(data: DataFrame, t: DataFrame, buckets: int) -> DataFrame:
+    """One round for rows of weight 1: a sketch of each open interval, the two of its values around
+    each rank, and the exact counts below, at and between them."""
+    n = min(4 * GRID, buckets)
+    keys = [_GROUP, _COL, "lo", "hi"]
+    spans = t.select(*keys).distinct()
+    cuts = _settle(_meet(data, spans).where(_within()).groupBy(*keys).agg(F.percentile_approx(_VAL, [i / n for i in range(n + 1)], buckets).alias("cuts")))
+    share = (F.col("t.rank") - F.col("t.below")) / F.greatest(F.col("t.rows") - 1, F.lit(1)) * n
+    t = t.alias("t").join(cuts.alias("c"), _cond("t", "c", keys)).select(
+        *[F.col(f"t.{c}") for c in _TARGET[:-1]], F.get("c.cuts", F.greatest(F.floor(share) - 1, F.lit(0)).cast("int")).alias("a"),
+        F.get("c.cuts", F.least(F.ceil(share) + 1, F.lit(n)).cast("int")).alias("b"))
+    t = _settle(t)
+    v, a, b = F.col(_VAL), F.col("a"), F.col("b")
+    counts = _meet(data, t.select(*keys, "rank", "a", "b")).where(_within()).groupBy(_GROUP, _COL, "rank").agg(
+        *[F.coalesce(F.sum(F.when(x, F.col(_W))), F.lit(0)).alias(k) for k, x in (("n0", v < a), ("n1", v == a), ("n2", (v > a) & (v < b)), ("n3", (v == b) & (a < b)))])
+    r = F.col("rank") - F.col("below")
+    s1, s2, s3, s4 = F.col("n0"), F.col("n0") + F.col("n1"), F.col("n0") + F.col("n1") + F.col("n2"), F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
+
+    def piece(*x):
+        return F.when(r < s1, x[0]).when(r < s2, x[1]).when(r < s3, x[2]).when(r < s4, x[3]).otherwise(x[4])
+
+    none = F.lit(None).cast("double")
+    return t.join(counts, [_GROUP, _COL, "rank"]).select(
+        _GROUP, _COL, "n", "rank", (F.col("below") + piece(F.lit(0), s1, s2, s3, s4)).alias("below"), piece(s1, F.col("n1"), F.col("n2"), F.col("n3"), F.col("rows") - s4).alias("rows"),
+        piece(F.col("lo"), a, a, b, b).alias("lo"), piece(a, a, b, b, F.col("hi")).alias("hi"), piece(none, a, none, b, none).alias("v"))
+
+
 def _narrow(data: DataFrame, t: DataFrame, buckets: int) -> DataFrame:
-    """One round: cuts of each open interval, exact counts at and between them, and the piece of each rank."""
-    cuts = materialize(_propose(data, t, buckets))
+    """One round for weighted rows: a grid of each open interval, exact counts at and between its values, and the piece of each rank."""
+    cuts = _settle(_propose(data, t, buckets))
     rows = _meet(data, cuts).where(_within())
     below = F.size(F.filter("cuts", lambda c: c < F.col(_VAL)))
     piece = (2 * below + F.array_contains("cuts", F.col(_VAL)).cast("int")).alias("piece")  # even: between cuts; odd: at cut (piece - 1) / 2
@@ -271,7 +320,7 @@ def _targets(stats: DataFrame, probs: list[float]) -> DataFrame:
             .select(_GROUP, _COL, "n", "rank", "below", "rows", none.alias("lo"), none.alias("hi"), none.alias("v")))
 
 
-def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int, leaf: int) -> DataFrame:
+def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int, leaf: int, narrow=_bracket) -> DataFrame:
     """(group, column index, qs: value per prob) for each row of ``stats``; qs null without values."""
     t = _targets(stats, probs)
     done = []
@@ -281,10 +330,10 @@ def _table(data: DataFrame, stats: DataFrame, probs: list[float], buckets: int,
         small, wide = t.where(open_ & (F.col("rows") <= leaf)), t.where(open_ & (F.col("rows") > leaf))
         n = t.agg(F.count_if(open_ & (F.col("rows") <= leaf)).alias("small"), F.count_if(open_ & (F.col("rows") > leaf)).alias("wide")).first()
         if n["small"]:
-            done.append(materialize(_finish(data, small)))
+            done.append(_settle(_finish(data, small)))
         if not n["wide"]:
             break
-        t = materialize(_narrow(data, wide, buckets))
+        t = _settle(narrow(data, wide, buckets))
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
@@ -315,7 +364,7 @@ def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: str,
     groups; ``qs`` holds a value per prob, or is null without non-null values.
     """
     long = _long_form(df, cols, by)
-    stats = materialize(_stats(long))
+    stats = _settle(_stats(long))
     names = F.array(*[F.lit(c) for c in cols])
     t = _table(long.where(F.col(_VAL).isNotNull()), stats, probs, buckets, leaf)
     return t.select(F.col(_GROUP).alias("group"), F.get(names, F.col(_COL)).alias("column"), "qs")
@@ -368,7 +417,7 @@ def quantiles_from_counts(freq: DataFrame, cols: list[str], probs: list[float],
     at = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col(column)).cast("int") - 1
     v = F.col(value).cast("double")
     long = src.select(F.lit("").alias(_GROUP), at.alias(_COL), F.when(v == 0, F.lit(0.0)).otherwise(v).alias(_VAL), F.col(weight).cast("bigint").alias(_W))
-    return {("", c): [None] * len(probs) for c in cols} | _as_dict(_table(long, materialize(_stats(long)), probs, buckets, leaf), cols, probs)
+    return {("", c): [None] * len(probs) for c in cols} | _as_dict(_table(long, _settle(_stats(long)), probs, buckets, leaf, _narrow), cols, probs)
 
 
 def quantile_frame(spark, result: dict, probs: list[float], group_name: str | None = None) -> DataFrame:

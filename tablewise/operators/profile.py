@@ -194,14 +194,13 @@ def profile_columns(df: DataFrame, approx: bool = False) -> list[dict]:
 
     Exact mode builds the frequency table once (persisted) and derives every
     statistic from it: null counts (rows − Σcount), distinct counts and
-    samples (one job), quartiles (weighted selection over distinct values) and
-    outlier counts (one aggregate). The raw rows are scanned twice: a count
-    and the frequency table itself.
+    samples (one job) and outlier counts (one aggregate). The raw rows are scanned
+    for a count, the frequency table itself and the wide aggregates of the
+    quartiles (no shuffle of rows).
     """
     if approx:
         return _profile_columns_approx(df)
     from pyspark import StorageLevel
-    from tablewise.functions.quantiles import quantiles_from_counts
     fields = list(df.schema.fields)
     prof_cols = [f.name for f in fields if column_role(f.dataType) != "other"]
     other = [f.name for f in fields if column_role(f.dataType) == "other"]
@@ -217,7 +216,7 @@ def profile_columns(df: DataFrame, approx: bool = False) -> list[dict]:
         nulls.update({c: n - non_null.get(c, 0) for c in prof_cols})
         numeric = [f.name for f in fields if column_role(f.dataType) == "numeric"
                    and uniq.get(f.name, 0) > OUTLIER_MIN_DISTINCT]
-        qs = quantiles_from_counts(ft, numeric, [0.25, 0.75])
+        qs = quantiles(df, numeric, [0.25, 0.75], stats={c: (non_null.get(c, 0), None, None) for c in numeric})
         bounds = {}
         for c in numeric:
             q1, q3 = qs[("", c)]
