@@ -45,6 +45,8 @@ class ModelSettings:
     # then costs n iterations, not the whole fit).
     checkpoint_every: int = 10
     boost_bins: int = 256
+    # Dates as seconds since 1970 ("number") or one category a value ("category").
+    date_features: str = "number"
     # Split-statistics budget per task for forests; a level with more takes several passes.
     tree_memory_mb: int = 64
 
@@ -179,7 +181,7 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
         data = data.withColumn("label", PR.label_expr(target, labels))
     else:
         data = data.withColumn("label", q(target).cast("double"))
-    num, cat = PR.feature_columns(data.drop("label"), target, (exclude or []) + ([key] if key else []))
+    num, cat = PR.feature_columns(data.drop("label"), target, (exclude or []) + ([key] if key else []), s.date_features)
     train, test = PR.hash_split(data, key)
     pre = PR.fit_preprocessor(data if fit_scope == "all" else train, num, cat)
     keep = ([key] if key else []) + ["label", "features"]

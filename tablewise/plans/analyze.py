@@ -38,11 +38,11 @@ class Analysis:
     def log_frame(self, spark):
         return spark.createDataFrame(self.log, "stage string, message string")
 
-    def write(self, out_dir: str, run_id: str, include_rows: bool = False) -> dict:
+    def write(self, out_dir: str, run_id: str, include_rows: bool = True) -> dict:
         """One parquet table per result under ``out_dir/<name>/run_id=…``.
 
-        Row-level tables (the cleaned data, SHAP values, scatter points,
-        cluster labels) are skipped unless ``include_rows``."""
+        ``include_rows=False`` leaves out the row-level tables (the cleaned data,
+        SHAP values, scatter points, box outliers, cluster labels)."""
         row_level = {"cleaned", "shap", "chart_scatter", "chart_box_outliers", "clusters"}
         tables = {k: v for k, v in self.tables.items() if include_rows or k not in row_level}
         # nested/complex columns are written as they are; parquet keeps them
@@ -127,7 +127,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
     if model and out.problem_type != "clustering":
         run = M.train_supervised(cleaned, target, key=key, settings=settings)
         for name, err in run.failures:
-            log("model", f"Failed to train {name}: {err}")
+            log("model", f"No {name}: {err}")
         out.tables["leaderboard"] = run.leaderboard(spark)
         out.champion = run.champion
         out.metrics = next((m for m in run.metrics if m["algorithm"] == run.champion), {})
@@ -159,7 +159,7 @@ def analyze(df: DataFrame, target: str | None = None, plan: CP.CleaningPlan | No
             out.tables["native_importance"] = importance
         log("model", f"Selected best model: {run.champion}.")
     elif model:
-        pre = PR.fit_preprocessor(cleaned, num, cat)
+        pre = PR.fit_preprocessor(cleaned, *PR.feature_columns(cleaned, None, [key] if key else None, (settings or M.ModelSettings()).date_features))
         feats = pre.transform(cleaned)
         crun = M.kmeans_search(feats)
         out.tables["leaderboard"] = M.leaderboard_frame(spark, "clustering", crun.metrics)
