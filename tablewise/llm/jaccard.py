@@ -38,7 +38,7 @@ from .kernels import U, Words, chunks, grams, mix
 
 
 SKETCH = 1024  # bits
-SLICES = 4  # of the signature space, grouped one after the other: shuffle files of one at a time
+SLICES = 8  # of the signature space, grouped one after the other: shuffle files of one at a time
 TEXT_SLICES = 2  # of the texts, likewise
 
 
@@ -161,17 +161,30 @@ def _fetch(rows: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, ha
     return out
 
 
-def _verified(pairs: DataFrame, parts: list[DataFrame], percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) that reach the similarity."""
+def _verified(pairs: DataFrame, parts: list[DataFrame], percent: int, room: int) -> DataFrame:
+    """Pairs (a, b, na, nb) that reach the similarity.
+
+    One set of each pair moves to the other: pairs are taken in slices whose
+    moving sets hold about ``room`` elements, one slice's shuffle files at a time.
+    """
+    spark = pairs.sparkSession
     sets = parts[0]
     for more in parts[1:]:
         sets = sets.unionByName(more)
     x = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    common = both.select("a", "b", "na", "nb", "x", "y")
-    found = common.select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common long").join(pairs, ["a", "b"])
-    return found.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    slices = math.ceil((pairs.agg(F.sum("na")).first()[0] or 0) / max(room, 1)) or 1
+    found = []
+    for i in range(slices):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i)
+        common = some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_common, "a long, b long, common long").join(some, ["a", "b"])
+        good = 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+        found.append(save(common.where(good).select("a", "b"), "join-found"))
+        release(spark)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, miss: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +228,8 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
     pairs = save(pairs.select("a", "b", "na", "nb"), "join-pairs")
     release(spark)
     sets = _fetch(rows, pairs, classes, words, [])
-    links = save(_verified(pairs, sets, percent), "join-links")
+    room = (narrow.agg(F.sum("n")).first()[0] or 0) // 2  # half of what all rows hold
+    links = save(_verified(pairs, sets, percent, room), "join-links")
     tested = pairs.select("a", "b")
     release(spark)
     # further rounds: in groups of several components, the next members against all that follow
@@ -244,7 +258,7 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
         if not more.isEmpty():
             tested = tested.unionByName(more.select("a", "b"))
             sets = _fetch(rows, more, classes, words, sets)
-            links = save(links.unionByName(_verified(more, sets, percent)), "join-links")
+            links = save(links.unionByName(_verified(more, sets, percent, room)), "join-links")
             release(spark)
     release(spark, pairs, *sets)
     return narrow, links
