@@ -10,8 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.exprs import q
+from tablewise.operators import kmeans as KM
 from tablewise.operators import metrics as MT
 from tablewise.operators.boosting import BoostedTrees
 from tablewise.operators import prep as PR
@@ -30,6 +31,9 @@ from tablewise.session import fit_parallelism
 CLASSIFIERS = ["Logistic Regression", "Random Forest", "Gradient Boosted Trees"]
 REGRESSORS = ["Linear Regression", "Random Forest Regressor", "Gradient Boosted Trees Regressor"]
 
+# What fitting raises for data that a candidate cannot take.
+UNFIT = (ValueError, TypeError, AnalysisException, ArithmeticException, IllegalArgumentException)
+
 
 @dataclass
 class ModelSettings:
@@ -119,7 +123,7 @@ def _class_metrics(pred: DataFrame, n_classes: int) -> dict:
             src = "probability" if "probability" in pred.columns else "rawPrediction"
             per = MT.roc_auc_ovr(pred.select("label", vector_to_array(F.col(src)).alias("p")), "label", "p")
             auc = MT.roc_auc_macro(per).first()["roc_auc"]
-    except Exception:  # noqa: BLE001 - a failed AUC is recorded as missing, not 0
+    except (ValueError, ArithmeticException):  # an AUC that is not defined is missing, not 0
         auc = None
     m["roc_auc"] = auc
     return m
@@ -205,7 +209,7 @@ def train_supervised(df: DataFrame, target: str, key: str | None = None, exclude
             else:
                 m = MT.regression_metrics(pred, "label", "prediction").first().asDict()
             return pos, name, model, m, None
-        except Exception as e:  # noqa: BLE001 - a failing candidate is logged and skipped
+        except UNFIT as e:  # a candidate that cannot be fitted is logged; a lost job or executor raises
             return pos, name, None, None, f"{type(e).__name__}: {e}"
 
     # Candidates are independent: their fits run as concurrent Spark jobs.
@@ -239,9 +243,10 @@ class ClusteringRun:
 
 
 def kmeans_search(features: DataFrame, ks=(2, 3, 4, 5), restarts: int = 10, seed: int = 42,
-                  features_col: str = "features", max_iter: int = 300, parallel: int = 8) -> ClusteringRun:
+                  features_col: str = "features", max_iter: int = 300) -> ClusteringRun:
     """K-means for each k (while rows > k), ``restarts`` seeds each,
-    the least training cost kept per k; best k by silhouette.
+    the least training cost kept per k; best k by silhouette. All models share
+    the scans: the data is read once an iteration, whatever their number.
 
     Silhouette is Spark's ``ClusteringEvaluator`` (squared Euclidean distance),
     which is O(n·k) — an exact Euclidean silhouette needs all pairs of rows and
@@ -252,22 +257,13 @@ def kmeans_search(features: DataFrame, ks=(2, 3, 4, 5), restarts: int = 10, seed
     run = ClusteringRun(data)
     evaluator = ClusteringEvaluator(featuresCol=features_col, predictionCol="prediction",
                                     distanceMeasure="squaredEuclidean")
-    from concurrent.futures import ThreadPoolExecutor
-
-    todo = [(pos, k, r) for pos, k in enumerate(ks) if n > k for r in range(restarts)]
-
-    def fit(item):
-        pos, k, r = item
-        m = KMeans(k=k, seed=seed + r, featuresCol=features_col, maxIter=max_iter).fit(data)
-        return pos, k, r, m, m.summary.trainingCost
-
-    with ThreadPoolExecutor(max_workers=fit_parallelism(features.sparkSession, parallel, 2.0)) as pool:
-        fits = list(pool.map(fit, todo))
+    wanted = [(k, seed + r) for k in ks if n > k for r in range(restarts)]
+    fits = list(zip(wanted, KM.fit_many(data, wanted, features_col, max_iter))) if wanted else []
     for pos, k in enumerate(ks):
-        cands = [(r, m, cost) for p, kk, r, m, cost in fits if kk == k]
+        cands = [(model.cost, s, model) for (kk, s), model in fits if kk == k]
         if not cands:
             continue
-        _, model, cost = min(cands, key=lambda t: (t[2], t[0]))  # least cost; earlier seed on ties
+        cost, _, model = min(cands, key=lambda t: t[:2])  # least cost; earlier seed on ties
         sil = evaluator.evaluate(model.transform(data))
         run.models[k] = model
         run.metrics.append(dict(position=pos, algorithm=f"KMeans (k={k})", k=k, silhouette_score=sil,

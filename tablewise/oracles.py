@@ -457,3 +457,43 @@ select o_orderkey, o_custkey,
        case when price_text in ({_NA}) then null else price_text end as price_text,
        case when date_text in ({_NA}) then null else date_text end as date_text
 from dirty_orders""")
+
+
+# --- vocabularies, boosted trees, quantiles of many groups ------------------------------
+oracle("vocabulary_codes", """
+with v as (select 'o_orderpriority' as "column", o_orderpriority as value from orders
+           union all select 'customer', cast(o_custkey as varchar) from orders)
+select "column", value, row_number() over (partition by "column" order by value) - 1 as code, count(*) as n
+from v where value is not null group by "column", value""")
+oracle("one_hot_sparse", """
+with f as (select o.o_orderkey, cast(r.o_custkey as varchar) as customer, o.c_mktsegment from order_features o join orders r using (o_orderkey)),
+a as (select customer as v, row_number() over (order by customer) as slot from (select distinct customer from f where customer is not null)),
+b as (select c_mktsegment as v, row_number() over (order by c_mktsegment) + (select count(*) from a) as slot from (select distinct c_mktsegment from f where c_mktsegment is not null))
+select o_orderkey, slot, 'customer_' || v as name from f join a on f.customer = a.v
+union all select o_orderkey, slot, 'c_mktsegment_' || v from f join b on f.c_mktsegment = b.v""")
+
+
+def _boosting_sql(rounds: int) -> str:
+    """Rounds of one-split boosting: gains of all thresholds by sums, margins updated row by row."""
+    out = ["""with d as (select row_number() over () as id, cast(n_lines as double) as a, cast(returned as double) as b,
+            floor(sum_qty / 100) as c, o_totalprice / 100000 as y from order_features
+            where n_lines is not null and returned is not null and sum_qty is not null and o_totalprice is not null),
+        x as (select id, 'a' as f, a as v from d union all select id, 'b', b from d union all select id, 'c', c from d),
+        cuts as (select distinct f, v as t from (select f, v, max(v) over (partition by f) as top from x) where v < top),
+        m0 as (select id, y, (select avg(y) from d) as m from d)"""]
+    for r in range(rounds):
+        out.append(f"""s{r} as (select f, t, sum(case when v <= t then m - y else 0 end) as gl, count(*) filter (v <= t) as hl, sum(m - y) as g, count(*) as h
+            from x join m{r} using (id) join cuts using (f) group by f, t),
+        b{r} as (select f, t, gl ** 2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g ** 2 / (h + 1) as gain, -0.3 * gl / (hl + 1) as wl, -0.3 * (g - gl) / (h - hl + 1) as wr
+            from s{r} order by gain desc, f, t limit 1),
+        m{r + 1} as (select m{r}.id, y, m + case when v <= t then wl else wr end as m from m{r} join x using (id) join b{r} using (f))""")
+    rows = " union all ".join(f"""select cast({r} as integer) as round, f as feature, round(t, 6) as threshold, round(gain, 6) as gain, round(wl, 6) as left_value,
+            round(wr, 6) as right_value, round((select avg((m - y) ** 2) / 2 from m{r}), 6) as loss from b{r}""" for r in range(rounds))
+    return ", ".join(out) + " " + rows
+
+
+oracle("boosted_rounds", _boosting_sql(3))
+oracle("quartiles_by_order", """
+select cast(l_orderkey as varchar) as "group", round(quantile_cont(l_extendedprice, 0.25), 6) as q1,
+       round(quantile_cont(l_extendedprice, 0.5), 6) as median, round(quantile_cont(l_extendedprice, 0.75), 6) as q3
+from lineitem where l_orderkey is not null group by l_orderkey""")

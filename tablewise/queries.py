@@ -528,3 +528,49 @@ def csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
     IO.write_cleaned(dirty_orders(spark, sf_dir), path, fmt="csv")
     return IO.read_csv(spark, path)
+
+
+# --- vocabularies, boosted trees, quantiles of many groups ------------------------------
+from tablewise.functions.quantiles import quantile_table  # noqa: E402
+from tablewise.operators import boosting as B  # noqa: E402
+from tablewise.operators import vocabulary as VO  # noqa: E402
+
+
+@query("vocabulary_codes")
+def vocabulary_codes(spark, sf_dir):
+    """M3, M7: values and codes of a column of few and one of many values."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").cast("string").alias("customer"))
+    v = VO.fit_vocabulary(o, ["o_orderpriority", "customer"])
+    return v.table.select(F.get(F.array(F.lit("o_orderpriority"), F.lit("customer")), F.col("column")).alias("column"), "value", "code", "n")
+
+
+@query("one_hot_sparse")
+def one_hot_sparse(spark, sf_dir):
+    """M7, M8: the slots that are set, by name, of vectors over the customers, segments and line counts of orders."""
+    of = order_features(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer")), "o_orderkey")
+    v = VO.fit_vocabulary(of, ["customer", "c_mktsegment"])
+    coded = VO.encode(of.select("o_orderkey", "customer", "c_mktsegment"), v, ["k0", "k1"])
+    starts = v.offsets(1)
+    slots = coded.select("o_orderkey", F.explode(F.array(F.col("k0") + starts[0], F.col("k1") + starts[1])).alias("slot")).where("slot is not null")
+    return slots.join(v.names(1), "slot").select("o_orderkey", "slot", "name")
+
+
+@query("boosted_rounds")
+def boosted_rounds(spark, sf_dir):
+    """Losses, splits and leaves of three rounds of second-order boosting with one split each."""
+    from pyspark.ml.feature import VectorAssembler
+    of = order_features(spark, sf_dir).where("n_lines is not null and returned is not null and sum_qty is not null and o_totalprice is not null")
+    of = of.select(F.col("n_lines").cast("double").alias("a"), F.col("returned").cast("double").alias("b"), F.floor(F.col("sum_qty") / 100).cast("double").alias("c"), (F.col("o_totalprice") / 100000).alias("label"))
+    model = B.BoostedTrees("squared", rounds=3, depth=1, bins=1024).fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(of))
+    rows = []
+    for r, (t,) in enumerate(model.trees):
+        f = int(t.feature[0])
+        rows.append((r, "abc"[f], float(t.threshold[0]), float(t.gain[0]), float(t.value[1]), float(t.value[2]), model.losses[r]))
+    return rounded(spark.createDataFrame(rows, "round int, feature string, threshold double, gain double, left_value double, right_value double, loss double"), 6)
+
+
+@query("quartiles_by_order")
+def quartiles_by_order(spark, sf_dir):
+    """V6: exact quartiles of as many groups as there are orders."""
+    t = quantile_table(table(spark, sf_dir, "lineitem"), ["l_extendedprice"], [0.25, 0.5, 0.75], "l_orderkey")
+    return rounded(t.select("group", *[F.col("qs")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))]), 6)
