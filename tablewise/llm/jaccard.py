@@ -37,7 +37,7 @@ from .components import components
 from .kernels import U, Words, chunks, grams, mix
 
 
-SKETCH = 1024  # bits
+SKETCH = 1024  # least number of bits
 SLICES = 8  # of the signature space, grouped one after the other: shuffle files of one at a time
 TEXT_SLICES = 2  # of the texts, likewise
 
@@ -89,10 +89,18 @@ def signatures(s: np.ndarray, percent: int, parts: int = 2, miss: int = 1) -> np
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each of SKETCH bits; two sets differ in at least as many elements as bits."""
-    bits = np.bincount((mix(s + U(0x2C1B3C6D)) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def sketch(s: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the elements that fall on each bit; two sets differ in at least as many elements as bits.
+
+    Strangers differ in about half of the bits, so there are over twice as many
+    bits (a power of two, SKETCH at least) as elements in which linked sets of
+    this size differ. The upper half folds onto the lower one by XOR.
+    """
+    bits = SKETCH
+    while bits < 2.6 * 2 * len(s) * (100 - percent) / (100 + percent):
+        bits *= 2
+    odd = np.bincount((mix(s + U(0x2C1B3C6D)) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sign(words: int, percent: int, parts: int, miss: int):
@@ -112,7 +120,9 @@ def _sign(words: int, percent: int, parts: int, miss: int):
                     pick = np.flatnonzero(signs % U(SLICES) == U(i))
                     offsets = np.searchsorted(owner[pick], np.arange(len(texts) + 1)).astype(np.int32)
                     sliced.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(signs[pick].view(np.int64))))
-                sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(s) for s in sets])), SKETCH // 64).cast(pa.list_(pa.int64()))
+                drawn = [sketch(s, percent) for s in sets]
+                ends = np.concatenate(([0], np.cumsum(list(map(len, drawn))))).astype(np.int32)
+                sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(drawn)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(ids, pa.int64(), mask=sizes == 0), sketches, *sliced],
                                                  ["doc_id", "h", "n", "set_id", "sketch", *[f"signs_{i}" for i in range(SLICES)]])
 
@@ -138,10 +148,18 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got, pa.int64())], ["a", "b", "common"])
 
 
+def _folded(x: str, y: str) -> Column:
+    """The sketch x, folded once if it is longer than y."""
+    half = (F.size(x) / 2).cast("int")
+    return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x))
+
+
 def _can(na: str, nb: str, sketch_a: str, sketch_b: str, percent: int) -> Column:
-    """Do sizes and sketches leave room for a link: a necessary condition."""
-    differ = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, c: t + c)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+    """Do sizes and sketches leave room for a link: a necessary condition. Sizes that do differ by one doubling of bits at most."""
+    both = F.zip_with(_folded(sketch_a, sketch_b), _folded(sketch_b, sketch_a), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+    differ = F.aggregate(both, F.lit(0), lambda t, c: t + c)
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return F.when(sizes, differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)).otherwise(F.lit(False))
 
 
 def _fetch(rows: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, have: list[DataFrame]) -> list[DataFrame]:
