@@ -38,11 +38,11 @@ class Analysis:
     def log_frame(self, spark):
         return spark.createDataFrame(self.log, "stage string, message string")
 
-    def write(self, out_dir: str, run_id: str, include_rows: bool = True) -> dict:
+    def write(self, out_dir: str, run_id: str, include_rows: bool = False) -> dict:
         """One parquet table per result under ``out_dir/<name>/run_id=…``.
 
-        ``include_rows=False`` leaves out the row-level tables (the cleaned data,
-        SHAP values, scatter points, box outliers, cluster labels)."""
+        Row-level tables (the cleaned data, SHAP values, scatter points, box
+        outliers, cluster labels) are skipped unless ``include_rows``."""
         row_level = {"cleaned", "shap", "chart_scatter", "chart_box_outliers", "clusters"}
         tables = {k: v for k, v in self.tables.items() if include_rows or k not in row_level}
         # nested/complex columns are written as they are; parquet keeps them
