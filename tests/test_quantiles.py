@@ -92,3 +92,22 @@ def test_infinities_are_extreme_values(spark):
         a, b = ordered[int(h)], ordered[min(int(h) + 1, len(vals) - 1)]
         assert g == (a if a == b or h == int(h) else pytest.approx(a + (b - a) * (h - int(h)), rel=1e-12))
     assert quantiles(spark.createDataFrame([(-1e308,), (1e308,), (inf,), (inf,)], "x double"), ["x"], [1 / 6, 0.5, 1.0], method="refine") == {("", "x"): [0.0, inf, inf]}
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch):
+    """Targets beyond the counted limit, here all, are merged, whatever the size of their files."""
+    from pyspark.sql import functions as F
+    from tablewise.functions import quantiles as Q
+    monkeypatch.setattr(Q, "BROADCAST_ROWS", -1)
+    plans, settle = [], Q._settle
+    monkeypatch.setattr(Q, "_settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    df = spark.range(6000).select(F.pmod("id", F.lit(300)).alias("g"), (F.pmod(F.col("id") * 7919, F.lit(6007)) / 8).alias("x"))
+    df = df.unionByName(spark.range(2000).select(F.pmod("id", F.lit(10)).alias("g"), F.when(F.col("id") > 3, F.col("id") % 57 + 0.5).alias("x")))
+    df = df.unionByName(spark.createDataFrame([(777, None), (888, 1.0)], "g long, x double"))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    want = {r["g"]: r["p"] for r in df.groupBy(F.col("g").cast("string").alias("g")).agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("p")).collect()}
+    for leaf in (10, 100, 10_000):  # every group is long, some are, none is
+        t = Q.quantile_table(df, ["x"], probs, "g", buckets=16, leaf=leaf)
+        plans.append(t._jdf.queryExecution().executedPlan().toString())
+        assert {r["group"]: r["qs"] for r in t.collect()} == want
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
