@@ -1,8 +1,10 @@
 """K-means for many (k, restart) pairs in shared scans.
 
 All models advance together: one job an iteration reads each row once, finds its
-nearest centre in every model that still moves, and adds up sums, counts and
-cost per centre in numpy over Arrow batches. Partial sums meet by model in a
+nearest centre in every model that still moves, and adds up sums and counts per
+centre in numpy over Arrow batches, with a matrix product for all models at once
+(rows that its rounding leaves open are compared by their differences); the last
+scan adds up the costs. Partial sums meet by model in a
 shuffle (on the driver while they are at most GATHER numbers, with the same
 result); the driver holds the centres. Starting centres are drawn by k-means++
 from a sample of at most ``sample`` rows, the rows of least hash; everything
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GATHER = 1 << 21
+ROWS = 1 << 12  # rows of a matrix product
 _SUMS = "model int, part int, sums array<double>, counts array<long>, cost double"
 _MERGED = "model int, sums array<double>, counts array<long>, cost double"
 
@@ -57,25 +60,43 @@ def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(centers)
 
 
-def _kernel(models: dict[int, np.ndarray]):
+def _nearest(x: np.ndarray, size: np.ndarray, near: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row (ties: the smaller number). ``near``: |c|^2 - 2xc from a matrix product;
+    rows whose first two come closer than its rounding are settled by their differences."""
+    best = near.argmin(axis=1)
+    slack = 16 * (c.shape[1] + 4) * np.finfo(float).eps * (size + (c * c).sum(axis=1).max())
+    close = np.flatnonzero((near <= (near[np.arange(len(x)), best] + slack)[:, None]).sum(axis=1) != 1)  # or not a number
+    if len(close):
+        best[close] = np.stack([((x[close] - m) ** 2).sum(axis=1) for m in c], axis=1).argmin(axis=1)
+    return best
+
+
+def _kernel(models: dict[int, np.ndarray], with_cost: bool):
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        sums = {j: np.zeros(c.shape) for j, c in models.items()}
-        counts = {j: np.zeros(len(c), np.int64) for j, c in models.items()}
+        every = np.concatenate(list(models.values()))
+        ends = np.cumsum([len(c) for c in models.values()])
+        own = {j: slice(z - len(c), z) for (j, c), z in zip(models.items(), ends)}
+        added, number = np.zeros(every.shape), np.zeros(len(every), np.int64)
         cost = dict.fromkeys(models, 0.0)
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            for j, c in models.items():
-                d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2) if x.size * len(c) <= 1 << 22 else np.stack([((x - m) ** 2).sum(axis=1) for m in c], axis=1)
-                near = d.argmin(axis=1)
-                cost[j] += d[np.arange(len(x)), near].sum()
-                counts[j] += np.bincount(near, minlength=len(c))
-                hot = np.zeros((len(c), len(x)))
-                hot[near, np.arange(len(x))] = 1
-                sums[j] += hot @ x
+            whole = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for a in range(0, len(whole), ROWS):
+                x = whole[a:a + ROWS]
+                size, at = (x * x).sum(axis=1), np.arange(len(x))
+                product = (every * every).sum(axis=1) - 2 * (x @ every.T)
+                hot = np.zeros((len(every), len(x)))
+                for j, c in models.items():
+                    near = _nearest(x, size, product[:, own[j]], c)
+                    hot[own[j].start + near, at] = 1
+                    if with_cost:
+                        cost[j] += ((x - c[near]) ** 2).sum(axis=1).sum()
+                added += hot @ x
+                number += hot.sum(axis=1).astype(np.int64)
+        sums, counts = {j: added[s] for j, s in own.items()}, {j: number[s] for j, s in own.items()}
         names = sorted(models)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([part] * len(names), pa.int32()), pa.array([sums[j].ravel() for j in names], pa.list_(pa.float64())),
                                           pa.array([counts[j] for j in names], pa.list_(pa.int64())), pa.array([cost[j] for j in names])], ["model", "part", "sums", "counts", "cost"])
@@ -89,9 +110,9 @@ def _merge(key, pdf):
                         columns=["model", "sums", "counts", "cost"])
 
 
-def _scan(data: DataFrame, tasks: int, models: dict[int, np.ndarray]) -> dict:
-    """{model: (sums, counts, cost)} of one scan for all models."""
-    sums = data.mapInArrow(_kernel(models), _SUMS)
+def _scan(data: DataFrame, tasks: int, models: dict[int, np.ndarray], with_cost: bool = False) -> dict:
+    """{model: (sums, counts, cost)} of one scan for all models; costs are 0 unless asked for."""
+    sums = data.mapInArrow(_kernel(models, with_cost), _SUMS)
     if tasks * sum(c.size + len(c) + 1 for c in models.values()) <= GATHER:
         rows = [_merge((k,), part).iloc[0] for k, part in sums.toArrow().to_pandas().groupby("model")]
     else:
@@ -121,7 +142,7 @@ def fit_many(features: DataFrame, wanted: list[tuple[int, int]], features_col: s
                 centers[j], iterations[j] = new, iterations[j] + 1
                 if shift <= tol * tol:
                     moving.discard(j)
-        last = _scan(data, tasks, dict(enumerate(centers)))
+        last = _scan(data, tasks, dict(enumerate(centers)), True)
         return [CentroidModel(c, last[j][2], iterations[j], features_col) for j, c in enumerate(centers)]
     finally:
         data.unpersist()

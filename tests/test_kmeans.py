@@ -50,3 +50,24 @@ def test_equal_rows_and_empty_clusters(spark):
     df = spark.createDataFrame([(Vectors.dense([1.0, 1.0]),)] * 30 + [(Vectors.dense([5.0, 1.0]),)], ["features"])
     m, = KM.fit_many(df, [(3, 1)])
     assert m.cost == 0.0 and len(m.clusterCenters()) == 3
+
+
+def test_nearest_by_products_is_that_by_differences():
+    """Far from zero the products lose all digits that tell the centres apart; ties go to the smaller number."""
+    rng = np.random.default_rng(4)
+    for shift in (0.0, 1e9):
+        x = rng.integers(-3, 4, (500, 3)) + shift
+        c = rng.integers(-3, 4, (6, 3)) + shift
+        c[4] = c[1]
+        want = np.array([((r - c) ** 2).sum(axis=1).argmin() for r in x])
+        product = (c * c).sum(axis=1) - 2 * (x @ c.T)
+        assert (KM._nearest(x, (x * x).sum(axis=1), product, c) == want).all()
+    assert (product.argmin(axis=1) != want).any()
+
+
+def test_costs_are_added_up_once(spark, monkeypatch):
+    _, df = points(spark, 5)
+    asked, kernel = [], KM._kernel
+    monkeypatch.setattr(KM, "_kernel", lambda models, with_cost: asked.append(with_cost) or kernel(models, with_cost))
+    KM.fit_many(df, [(3, 1), (4, 2)])
+    assert asked[-1] and not any(asked[:-1]) and len(asked) > 2
