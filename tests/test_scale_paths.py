@@ -43,3 +43,10 @@ def test_describe_and_box_refine_equal_default(spark, monkeypatch):
         assert (bsum[g]["q1"], bsum[g]["median"], bsum[g]["q3"]) == pytest.approx(
             (fsum[g]["q1"], fsum[g]["median"], fsum[g]["q3"]))
         assert bsum[g]["outliers"] == fsum[g]["outliers"]
+
+
+def test_engineered_features_read_the_join_once(spark):
+    """The joined features are written once; each step reads that table."""
+    from tablewise.queries import QUERIES
+    files = QUERIES["apply_features"](spark, SF001).inputFiles()
+    assert files and all("order-features-" in f for f in files)
