@@ -50,3 +50,15 @@ def test_engineered_features_read_the_join_once(spark):
     from tablewise.queries import QUERIES
     files = QUERIES["apply_features"](spark, SF001).inputFiles()
     assert files and all("order-features-" in f for f in files)
+
+
+def test_training_rows_are_spread(spark):
+    """Rows that lie in one partition are trained on by all cores, with and without a key, and none is lost."""
+    from tablewise.operators import models as M
+    rows = [(i, float(i % 7), "ab"[i % 2], float(3 * (i % 7) + i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "`the id` int, x double, c string, y double").coalesce(1)
+    for key in ("the id", None):
+        run = M.train_supervised(df, "y", key=key, candidates=["Linear Regression"])
+        assert run.train.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+        assert run.train.count() + run.test.count() == 200 and not run.failures
+    assert M.train_supervised(df.repartition(16), "y", key="the id", candidates=["Linear Regression"]).train.rdd.getNumPartitions() == 16
