@@ -61,4 +61,7 @@ def test_training_rows_are_spread(spark):
         run = M.train_supervised(df, "y", key=key, candidates=["Linear Regression"])
         assert run.train.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
         assert run.train.count() + run.test.count() == 200 and not run.failures
+    from tablewise.session import persist_spread
+    nulls = persist_spread(df.selectExpr("cast(null as int) k", "x", "c", "y"), "k")
+    assert max(nulls.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 100
     assert M.train_supervised(df.repartition(16), "y", key="the id", candidates=["Linear Regression"]).train.rdd.getNumPartitions() == 16
