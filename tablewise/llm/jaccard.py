@@ -5,12 +5,14 @@ Sets of word shingles are compared by symmetric difference: at a similarity of
 feature domain is cut into first-level groups, each into ``parts`` second-level
 parts. If a pair differs in k elements, some group has at most ``miss`` of
 them, so some subset of parts - ``miss`` parts agrees there: the hashes of all
-such subsets are the signatures, and linked sets share one for certain. Bands
+such subsets are signatures, and linked sets share one for certain. Bands
 overlap so that every two sizes that can link share a band.
 
-Empty subsets would be shared by strangers. Groups are made ``spare`` more than
-needed, so that a linked pair agrees in spare + 1 groups, and a set that has an
-empty subset in at most ``spare`` groups may leave those subsets out.
+Subsets of few elements are shared by strangers. There are a third more groups
+than needed, and subsets have an order that both sets of a pair see alike: more
+elements first. As k elements spoil at most ``spoiled`` subsets, the first of
+those that agree is among the first spoiled + 1 of either set, and a set signs
+with these alone; k is the most for its own size, so bands may be wide.
 
 Equal sets are one class. In a signature group all members are compared with
 the member that shares most signatures with others, then, as long as a group
@@ -40,12 +42,13 @@ from .kernels import U, Words, chunks, grams, mix
 SKETCH = 1024  # least number of bits
 SLICES = 8  # of the signature space, grouped one after the other: shuffle files of one at a time
 TEXT_SLICES = 2  # of the texts, likewise
+FEW = 1 << 19  # wanted sets of a slice that are broadcast, so that texts stay where they are; of more, both sides move
 
 
 @cache
 def bands(percent: int, upto: int) -> tuple[tuple[int, int, int], ...]:
     """(low, high, most differing elements) of the overlapping size bands up to a size."""
-    out, step, low = [], (100 / percent) ** 2, 1.0
+    out, step, low = [], 2.5, 1.0
     while low <= upto:
         high = math.floor(low * step * 100 / percent + 1e-9)
         out.append((math.ceil(low - 1e-9), high, 2 * high * (100 - percent) // (100 + percent)))
@@ -64,28 +67,37 @@ def shingles(w: Words, words: int) -> list[np.ndarray]:
     return out
 
 
+def spoiled(k: int, groups: int, parts: int, miss: int) -> int:
+    """The most subsets of parts - miss parts in which k differing elements can fall: those of one group spoil fewer each."""
+    out = 0
+    for e in range(1, miss + 2):
+        some = min(k, groups)
+        out, k = out + some * math.comb(parts - e, miss + 1 - e), k - some
+    return out
+
+
 def signatures(s: np.ndarray, percent: int, parts: int = 2, miss: int = 1) -> np.ndarray:
     """PartEnum signatures of a set of 64-bit hashes."""
     n, out = len(s), []
     if n * 100 < (n + 1) * percent:
         return np.zeros(0, U)  # only an equal set can be that similar
     mixed = mix(s + U(0x51ED270B))
-    for number, (low, high, k) in enumerate(bands(percent, n)):
+    subsets = [list(c) for c in combinations(range(parts), parts - miss)]
+    for number, (low, high, most) in enumerate(bands(percent, n)):
         if not low <= n <= high:
             continue
-        spare = 3 + k // 20
-        groups = k // (miss + 1) + 1 + spare
+        k = (n + min(high, n * 100 // percent)) * (100 - percent) // (100 + percent)
+        groups = most // (miss + 1) + 4 + most // 6
         part = (mixed % U(groups * parts)).astype(np.int64)
         sums = np.zeros(groups * parts, U)
         np.add.at(sums, part, s)
         counts = np.bincount(part, minlength=groups * parts).reshape(groups, parts)
         sums = sums.reshape(groups, parts)
-        subsets = [list(c) for c in combinations(range(parts), parts - miss)]
         hashes = np.stack([sums[:, c].sum(1, dtype=U) for c in subsets], 1)
-        filled = np.stack([counts[:, c].sum(1) for c in subsets], 1) > 0
+        sizes = np.stack([counts[:, c].sum(1) for c in subsets], 1)
         tags = mix(U(number * 1_000_003) + np.arange(groups * len(subsets), dtype=U).reshape(groups, -1))
-        hashes = mix(hashes + tags)
-        out.append(hashes[filled] if (~filled).any(1).sum() <= spare else hashes.ravel())
+        hashes = mix(hashes + tags).ravel()
+        out.append(hashes[np.lexsort((hashes, -sizes.ravel()))[:spoiled(k, groups, parts, miss) + 1]])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -105,13 +117,17 @@ def sketch(s: np.ndarray, percent: int) -> np.ndarray:
 
 def _sign(words: int, percent: int, parts: int, miss: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = set()  # a task signs equal sets once
         for b in batches:
             for first, texts in chunks(b.column("text")):
                 sets = shingles(Words(texts, lower=True), words)
                 ids = np.array([int(mix(s).sum(dtype=U)) for s in sets], U)
                 sizes = np.array(list(map(len, sets)), np.int64)
                 ids = mix(ids + sizes.astype(U)).view(np.int64)
-                signs = [signatures(s, percent, parts, miss) for s in sets]
+                signs = []
+                for i, s in zip(ids.tolist(), sets):
+                    signs.append(np.zeros(0, U) if i in signed else signatures(s, percent, parts, miss))
+                    signed.add(i)
                 owner = np.repeat(np.arange(len(texts)), list(map(len, signs)))
                 signs = np.concatenate(signs)
                 part = b.slice(first, len(texts))
@@ -169,10 +185,12 @@ def _fetch(rows: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, ha
         wanted = wanted.join(t.select("set_id"), "set_id", "left_anti")
     wanted = save(wanted.join(classes, "set_id").select("set_id", F.col("bearer.doc_id").alias("m_id"), F.col("bearer.h").alias("m_h")), "join-wanted")
     release(rows.sparkSession)
+    few = wanted.count() <= TEXT_SLICES * FEW
     out = list(have)
     for i in range(TEXT_SLICES):
         part = rows.where(F.pmod("h", F.lit(TEXT_SLICES)) == i)
-        texts = part.join(wanted.where(F.pmod("m_h", F.lit(TEXT_SLICES)) == i), part.doc_id.eqNullSafe(wanted.m_id) & (part.h == wanted.m_h)).select("set_id", "text")
+        some = wanted.where(F.pmod("m_h", F.lit(TEXT_SLICES)) == i)
+        texts = part.join(F.broadcast(some) if few else some, part.doc_id.eqNullSafe(some.m_id) & (part.h == some.m_h)).select("set_id", "text")
         out.append(save(texts.mapInArrow(_sets(words), "set_id long, items array<long>").dropDuplicates(["set_id"]), "join-sets"))
         release(rows.sparkSession)
     release(rows.sparkSession, wanted)
@@ -220,18 +238,16 @@ def link(rows: DataFrame, words: int = 4, percent: int = 85, parts: int = 2, mis
     release(spark)
     slices = []
     for i in range(SLICES):
-        each = signed.select("set_id", F.explode(f"signs_{i}").alias("sign"))
-        shared = save(each.groupBy("sign").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("sign"), "join-shared")
-        release(spark)
+        each = signed.select("set_id", F.explode(f"signs_{i}").alias("sign")).repartition("sign")  # moved once, for the sums and for the join
+        shared = each.groupBy("sign").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("*").alias("size")).where("low <> high").select("sign", "size")
         slices.append(save(each.join(shared, "sign").distinct(), "join-members"))
-        release(spark, shared)
+        release(spark)
     release(spark, signed)
     members = slices[0]
     for more in slices[1:]:
         members = members.unionByName(more)
     # how much each member has in common with others; the first in a group is its centre
-    sizes = members.groupBy("sign").agg(F.count("*").alias("size"))
-    score = members.join(sizes, "sign").groupBy("set_id").agg(F.sum("size").alias("score"))
+    score = members.groupBy("set_id").agg(F.sum("size").alias("score"))
     score = save(score.join(classes.select("set_id", "n"), "set_id"), "join-score")
     release(spark)
     members = save(members.join(score, "set_id").select("sign", "set_id", "n", "score"), "join-ordered")

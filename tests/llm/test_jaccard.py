@@ -88,6 +88,28 @@ def test_signatures_meet(parts, miss):
                 assert len(np.intersect1d(jaccard.signatures(s, 85, parts, miss), jaccard.signatures(t, 85, parts, miss)))
 
 
+def test_strangers_share_no_signatures():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    for percent, share in [(85, 0.4), (80, 0.55)]:
+        for n in [7, 8, 12, 13, 20, 60, 300, 1000]:
+            signs = [set(jaccard.signatures(rnd.integers(0, 1 << 63, n, dtype=np.uint64), percent).tolist()) for _ in range(300)]
+            assert len(set.union(*signs)) == sum(map(len, signs))
+            assert max(map(len, signs)) <= share * n + 2
+
+
+def test_spoiled_is_the_most():
+    from itertools import combinations, combinations_with_replacement
+
+    for groups, parts, miss in [(3, 2, 1), (2, 3, 1), (4, 1, 0), (2, 4, 2)]:
+        subsets = [{(g, p) for p in c} for g in range(groups) for c in combinations(range(parts), parts - miss)]
+        places = [(g, p) for g in range(groups) for p in range(parts)]
+        for k in range(groups * (miss + 1)):
+            most = max(sum(bool(s & set(hit)) for s in subsets) for hit in combinations_with_replacement(places, k))
+            assert most == jaccard.spoiled(k, groups, parts, miss) < len(subsets)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(500, x) for x in range(501, 560)]
